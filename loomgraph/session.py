@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,19 @@ def local_session(app: str = "loomgraph", cores: str | int = "*", partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A driver table. Only Spark opens it, so any store Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomgraph_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="loomgraph-ship-")), "loomgraph.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(p := os.path.join(folder, n), os.path.join("loomgraph", os.path.relpath(p, here)))
+    sc.addPyFile(archive)
+    sc._loomgraph_shipped = True
