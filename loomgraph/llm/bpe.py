@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -64,7 +65,13 @@ class TrieEncoder:
             self.tokens[i] = t
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
-        self.longest = max(map(len, self.vocab))
+        #: Characters of the longest token by its last two characters (and end mark).
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            end = END if t.endswith(END) and len(t) > len(END) else ""
+            body = t.removesuffix(end)
+            if len(body) > 1:
+                self.reach[body[-2:] + end] = max(len(body), self.reach.get(body[-2:] + end, 0))
         self.byte_char = byte_characters()
         self.char_byte = {c: b for b, c in enumerate(self.byte_char)}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -138,34 +145,55 @@ class TrieEncoder:
 
     def _last_token(self, text: str, states: list[tuple[str, bytes]], suffix: str = "") -> tuple[str, bytes]:
         """(last token, all ids) of ``text``; states[d] is that of its first d characters."""
-        vocab = self.vocab
-        for at in range(max(0, len(text) - self.longest), len(text)):
+        n = len(text)
+        id_of, pairs = self.vocab.get, self.pairs.get
+        for at in range(max(0, n - self.reach.get(text[-2:] + suffix, 1)), n):
             token = text[at:] + suffix
-            i = vocab.get(token)
-            if i is not None and (self._may_follow(states[at][0], token) if at else self._may_start(token)):
-                return token, states[at][1] + i.to_bytes(4, "little")
+            i = id_of(token)
+            if i is None:
+                continue
+            left, ids = states[at]
+            if at:
+                ok = pairs((left, token))
+                if ok is None:
+                    ok = self._may_follow(left, token)
+            else:
+                ok = self._sides(token) is not None
+            if ok:
+                return token, ids + i.to_bytes(4, "little")
         raise ValueError(f"no token ends {text!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words, as little-endian unsigned 32-bit integers."""
+        byte_char = self.byte_char
         root: dict = {}
         for word in words:
-            chars = "".join([self.byte_char[b] for b in word.encode()])
+            chars = word if word.isascii() and word.isprintable() else "".join([byte_char[b] for b in word.encode()])
             node = root
             for c in chars[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", []).append((chars[-1], word))
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
+            if "" in node:
+                node[""].append((chars[-1], word))
+            else:
+                node[""] = [(chars[-1], word)]
         out: dict[str, bytes] = {}
         states: list[tuple[str, bytes]] = [("", b"")]
         stack = [(root, "")]
+        last_token = self._last_token
         while stack:
             node, text = stack.pop()
-            del states[len(text) if text else 1 :]
             if text:
-                states.append(self._last_token(text, states))
-            for last, word in node.get("", ()):
-                out[word] = self._last_token(text + last, states, END)[1]
-            stack += [(child, text + c) for c, child in node.items() if c]
+                del states[len(text) :]
+                states.append(last_token(text, states))
+            for c, below in node.items():
+                if c:
+                    stack.append((below, text + c))
+                else:
+                    for last, word in below:
+                        out[word] = last_token(text + last, states, END)[1]
         return out
 
     # -- texts
@@ -184,17 +212,16 @@ class TrieEncoder:
         pieces: list[list[list[str] | bytes]] = []
         fresh: set[str] = set()
         for text in texts:
-            parts: list[list[str] | bytes] = []
             if "<|" in text and self.cut_special:
-                for p in self.cut_special.split(text):
-                    parts.append(self.special[p].to_bytes(4, "little") if p in self.special else self.split(p))
+                parts = [self.special[p].to_bytes(4, "little") if p in self.special else self.split(p) for p in self.cut_special.split(text)]
             else:
-                parts.append(self.split(text))
+                parts = [self.split(text)]
             for p in parts:
                 if isinstance(p, list):
-                    fresh.update(p)
+                    fresh.update(itertools.filterfalse(known.__contains__, p))
             pieces.append(parts)
-        known |= self.encode_words(fresh.difference(known))
+        if fresh:
+            known |= self.encode_words(fresh)
         get = known.__getitem__
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p for p in parts]) for parts in pieces]
 

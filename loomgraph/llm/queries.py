@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, packing, url_filter, warc
+from loomgraph.llm import bpe, exact_dedup, gif, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_gif": gif.op3_gif,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_quality": quality.op6_quality,
     "op7_bpe": bpe.op7_bpe,
     "op10_packing": packing.op10_packing,
 }
