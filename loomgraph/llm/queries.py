@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, gif, packing, quality, url_filter, warc
+from loomgraph.llm import bpe, exact_dedup, gif, jaccard_join, packing, quality, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_quality": quality.op6_quality,
     "op7_bpe": bpe.op7_bpe,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
