@@ -18,21 +18,24 @@ import functools
 import hashlib
 import itertools
 import json
+import os
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.columns import pick
 
-#: Words kept with their ids in a worker; beyond it they are forgotten and encoded anew.
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 500_000
+#: Words kept with their ids in a worker, and words remembered as met once.
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 300_000
 END = "</w>"
-#: Any character that the compiled pattern does not cover.
-_FAR = re.compile("[^\u0000-ſ]")
+#: Any character that the compiled pattern does not cover, or whose lower case it does not.
+_FAR = re.compile("[^\u0000-\u012f\u0131-ſ]")
 _LETTER = "a-zªµºß-öø-ÿĀ-ſ"
 _NUMBER = "0-9²³¹¼½¾"
 _SPACE = " \t-\r\u0085 "
@@ -46,12 +49,14 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printing else chr(next(spare)) for b in range(256)]
 
 
-class TrieEncoder:
-    """Encoder and decoder of a tokenizer file with end-of-word BPE over byte characters."""
+class WordEncoder:
+    """Splits texts, keeps the ids of words, and has the library encode words not seen before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,6 +68,88 @@ class TrieEncoder:
         self.tokens = [""] * (1 + max(*self.vocab.values(), *self.special.values()))
         for t, i in (*self.vocab.items(), *self.special.items()):
             self.tokens[i] = t
+        self.byte_char = byte_characters()
+        self.char_byte = {c: b for b, c in enumerate(self.byte_char)}
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.words: dict[str, bytes] = {}
+        self.once: set[str] = set()
+        self._prepare(model)
+
+    def _prepare(self, model: dict) -> None:
+        self.ends = np.array([t.endswith(END) for t in self.tokens])
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct words, as little-endian unsigned 32-bit integers."""
+        words = list(words)
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1  # every word ends in an end token
+        if len(cuts) != len(words):
+            return {w: np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words}
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return {w: data[i:k] for w, i, k in zip(words, at, at[1:], strict=False)}
+
+    # -- texts
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text without special tokens."""
+        if not text.isascii() and _FAR.search(text):
+            mapped = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return [bytes([self.char_byte[c] for c in w]).decode("utf-8") for w, _ in mapped]
+        return _WORDS.findall(text.lower())
+
+    def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text. A word is kept when it is met again, so that rare ones do not crowd out others."""
+        known = self.words
+        get = known.get
+        found: list[list[bytes | None]] = []
+        gaps: list[tuple[list[bytes | None], int, str]] = []
+        for text in texts:
+            ids: list[bytes | None] = []
+            if "<|" in text and self.cut_special:
+                parts = self.cut_special.split(text)
+            else:
+                parts = [text]
+            for part in parts:
+                if part in self.special:
+                    ids.append(self.special[part].to_bytes(4, "little"))
+                    continue
+                words = self.split(part)
+                at = len(ids)
+                ids += map(get, words)
+                try:
+                    start = at
+                    while True:
+                        at = ids.index(None, at)
+                        gaps.append((ids, at, words[at - start]))
+                        at += 1
+                except ValueError:
+                    pass
+            found.append(ids)
+        fresh = Counter([w for _, _, w in gaps])
+        new = self.encode_words(fresh) if fresh else {}
+        for ids, at, word in gaps:
+            ids[at] = new[word]
+        once = self.once
+        for w, n in fresh.items():
+            if n > 1 or w in once:
+                known[w] = new[w]
+            else:
+                once.add(w)
+        if len(once) > CACHED_WORDS:
+            once.clear()
+        if len(known) > CACHED_WORDS:  # words met early are the common ones
+            self.words = dict(itertools.islice(known.items(), CACHED_WORDS // 2))
+        return list(map(b"".join, found))
+
+    def decode(self, ids: bytes) -> str:
+        """The file names no decoder: tokens, special ones too, joined by blanks."""
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+
+
+class TrieEncoder(WordEncoder):
+    """Encodes new words itself, in a trie of their prefixes."""
+
+    def _prepare(self, model: dict) -> None:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
         #: Characters of the longest token by its last two characters (and end mark).
@@ -72,12 +159,8 @@ class TrieEncoder:
             body = t.removesuffix(end)
             if len(body) > 1:
                 self.reach[body[-2:] + end] = max(len(body), self.reach.get(body[-2:] + end, 0))
-        self.byte_char = byte_characters()
-        self.char_byte = {c: b for b, c in enumerate(self.byte_char)}
-        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.sides: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
 
     # -- the pair test
 
@@ -196,39 +279,6 @@ class TrieEncoder:
                         out[word] = last_token(text + last, states, END)[1]
         return out
 
-    # -- texts
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text without special tokens."""
-        if _FAR.search(text):
-            mapped = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [bytes([self.char_byte[c] for c in w]).decode("utf-8") for w, _ in mapped]
-        return _WORDS.findall(text.lower())
-
-    def encode_batch(self, texts: Iterable[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        pieces: list[list[list[str] | bytes]] = []
-        fresh: set[str] = set()
-        for text in texts:
-            if "<|" in text and self.cut_special:
-                parts = [self.special[p].to_bytes(4, "little") if p in self.special else self.split(p) for p in self.cut_special.split(text)]
-            else:
-                parts = [self.split(text)]
-            for p in parts:
-                if isinstance(p, list):
-                    fresh.update(itertools.filterfalse(known.__contains__, p))
-            pieces.append(parts)
-        if fresh:
-            known |= self.encode_words(fresh)
-        get = known.__getitem__
-        return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p for p in parts]) for parts in pieces]
-
-    def decode(self, ids: bytes) -> str:
-        """The file names no decoder: tokens, special ones too, joined by blanks."""
-        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TrieEncoder:
@@ -236,6 +286,12 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def library_encoder(path: str) -> WordEncoder:
+    """The same ids from the library: for operators that only need them."""
+    return WordEncoder(path)
+
+
 def batches_of(texts: list[str], most: int = 4 << 20) -> Iterator[slice]:
     """Slices of texts of about ``most`` characters."""
     start = held = 0

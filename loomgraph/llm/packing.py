@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bpe import batches_of, encoder
+from loomgraph.llm.bpe import batches_of, library_encoder
 from loomgraph.llm.columns import pick
 from loomgraph.operators.workspace import Workspace
 
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
     end = SEPARATOR.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enc = library_encoder(tokenizer)
         for b in batches:
             texts, keys = b["text"].fillna("").tolist(), b["id"]
             for s in batches_of(texts):
