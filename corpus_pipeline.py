@@ -1,2 +1,54 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""A training-data pipeline of the llm operators; counted with them and removed with them.
+
+Every stage is written as Parquet and read again by the next one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm.exact_dedup import drop_copies
+from loomgraph.llm.jaccard_join import keep_one
+from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.quality import keep_good
+from loomgraph.operators.workspace import Workspace
+from loomgraph.session import ship_package
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    ship_package(spark)
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with the same text, the one with the smallest doc_id."""
+    ship_package(spark)
+    return drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest doc_id."""
+    ship_package(spark)
+    return keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces of all documents left, with their sequences."""
+    ship_package(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("jaccard_join", near), ("packing", packing)]
+
+#: The classifier is no SQL; the pipeline is tested against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = ws.save(stage(spark, docs, sf_dir), name)
+    return docs
