@@ -12,9 +12,13 @@ SHARE = 1000
 LEAST = 64
 
 
-def hot_limit(right: DataFrame, rows: str, share: int = SHARE) -> int:
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    return max(total // share, LEAST)
+def hot_keys(right: DataFrame, keys: list[str], rows: str, share: int = SHARE) -> list[int]:
+    """Hashes of the hot keys of ``right``: fewer than ``share``."""
+    total, most = right.agg(F.sum(rows), F.max(rows)).first()
+    limit = max((total or 0) // share, LEAST)
+    if not total or most <= limit:
+        return []
+    return [r[0] for r in right.where(F.col(rows) > limit).select(F.xxhash64(*keys)).collect()]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, share: int = SHARE) -> DataFrame:
@@ -22,10 +26,13 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, s
 
     ``rows`` is a column of ``right`` that counts the left rows of the key (or
     more).  Rows of hot keys meet a broadcast of fewer than ``share`` rows and are
-    never shuffled; all others take a shuffle join.  Both inputs are read twice,
-    so both should be stored tables or cheap scans.
+    never shuffled; all others take a shuffle join.  Both sides are split by the hash
+    of the key, so a cold key that shares a hot one's hash is treated as hot as well.
+    With hot keys both inputs are read twice: they should be stored tables or cheap scans.
     """
-    limit = hot_limit(right, rows, share)
-    hot, cold = right.where(F.col(rows) > limit), right.where(F.col(rows) <= limit)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
+    hot = hot_keys(right, keys, rows, share)
+    if not hot:
+        return left.join(right.hint("merge"), keys)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    cold = left.where(~is_hot).join(right.where(~is_hot).hint("merge"), keys)
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), keys).unionByName(cold)
