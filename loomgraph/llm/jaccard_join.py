@@ -55,9 +55,11 @@ COUNTERS_BITS = 18
 BUCKETS = 128
 #: Regions of so many members or fewer are leaves; deeper recursion than LEVELS ends in leaves too.
 LEAF = 32
-LEVELS = 3
+LEVELS = 2
 #: Requests of one pivot that one task answers.
 PER_SALT = 64
+#: Ids that are broadcast at most, 8 bytes each.
+SENT_IDS = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -202,9 +204,10 @@ class Join:
         self.label: DataFrame | None = None  # (id, label) of texts in some link
 
     def regions(self) -> DataFrame:
-        """(s, id, n, at, pivot, members) of every coarse region with two texts or more."""
+        """(s, id, n, at, pivot, np, ap, members) of every coarse region with two texts or more."""
         rows = self.profile.where("id = first").select("id", "n", F.posexplode("prefix").alias("at", "s"))
-        shared = self.ws.save(rows.groupBy("s").agg(F.count("*").alias("members"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last"), "shared")
+        least = rows.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "at")).alias("p"), F.max("id").alias("last")).where("p.id < last")
+        shared = self.ws.save(least.select("s", "members", F.col("p.id").alias("pivot"), F.col("p.n").alias("np"), F.col("p.at").alias("ap")), "shared")
         out = self.ws.save(lookup_join(rows, shared, ["s"], "members"), "regions")
         self.ws.drop(shared)
         self.ws.tidy()
@@ -220,8 +223,9 @@ class Join:
         faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx"), ["x", "nx"]), asks, ["y", "ny"], "asks")
         near = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny").distinct(), "near")
         needed = ws.save(near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct(), "needed")
-        # The id table decides this join: small by its measured size it is broadcast, else both are shuffled.
-        sets = ws.save(shingle_sets(self.docs.join(needed, "id", "left_semi")).withColumn("n", F.size("s").cast("long")), "sets")
+        # Texts stay where they are while the ids are few enough to be sent, by their count; else both are shuffled.
+        wanted = F.broadcast(needed) if needed.count() <= SENT_IDS else needed.hint("merge")
+        sets = ws.save(shingle_sets(self.docs.join(wanted, "id", "left_semi")).withColumn("n", F.size("s").cast("long")), "sets")
         asks = asks.select("y", "ny", "asks").distinct()
         salts = F.ceil(F.col("asks") / PER_SALT)
         dealt = lookup_join(near, asks, ["y", "ny"], "asks").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x"), salts).alias("salt"))
@@ -233,9 +237,11 @@ class Join:
         ws.tidy()
         return out
 
-    def link(self, answers: DataFrame) -> None:
-        """Take the linked pairs of ``answers`` into the components; labels are smallest ids."""
+    def link(self, answers: DataFrame, more: DataFrame | None = None) -> None:
+        """Take the linked pairs of ``answers`` and those of ``more`` into the components; labels are smallest ids."""
         found = answers.where("100 * both >= 80 * (nx + ny - both)").select("x", "y")
+        if more is not None:
+            found = found.unionByName(more)
         if self.label is None:
             edges = found.toDF("a", "b")
             self.label = self.ws.save(connected_components(edges, self.ws).toDF("id", "label"), "labels")
@@ -258,47 +264,44 @@ class Join:
         named = rows.join(self.label.toDF("id", "label_"), "id", "left")
         return named.withColumn("label", F.coalesce("label_", "id")).drop("label_")
 
-    def look_at_pivots(self, rows: DataFrame) -> DataFrame:
+    def look_at_pivots(self, faced: DataFrame, more: DataFrame | None = None) -> DataFrame:
         """Ask every member's distance to its region's pivot, link, and return what is left of the regions.
 
-        rows(s, id, n, at, pivot) -> (s, id, n, at, label, low, high): bounds of d(id, pivot).
+        faced(s, id, n, at, pivot, np, ap, members) -> (s, id, n, at, label, low, high): bounds of d(id, pivot).
+        ``more``: pairs (x, y) that are linked anyway.
         """
-        pivots = rows.where("id = pivot").groupBy("s").agg(F.max("n").alias("np"), F.min("at").alias("ap"), F.count("*").alias("one"))
-        members = self.ws.save(rows.groupBy("s").agg(F.count("*").alias("members")).join(pivots, "s").drop("one"), "pivots")
-        faced = self.ws.save(lookup_join(rows, members, ["s"], "members"), "faced")
         window = (F.least("n", "np") * 10 >= F.greatest("n", "np") * 8) & (9 * F.least(F.col("n") - F.col("at"), F.col("np") - F.col("ap")) >= 4 * (F.col("n") + F.col("np")))
         asked = faced.where("id <> pivot").where(window).select(F.col("id").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("nx"), F.col("np").alias("ny")).distinct()
         answers = self.answer(asked)
-        self.link(answers)
-        # Windows: an unanswered request proves d > r; sizes alone may prove more.
+        self.link(answers, more)
+        # Of two members none is left to compare. The pivot's component is its cell; a region all in one cell is done.
+        named = self.ws.save(self.labelled(faced.where("members > 2").select("s", "id", "n", "at", "pivot", "np", "members")), "named")
+        cells = named.groupBy("s").agg(F.max("members").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("label"))).alias("home")).where("l1 < l2")
+        open_ = self.ws.save(cells.select("s", "members", "home"), "open")
+        rows = lookup_join(named.drop("members"), open_, ["s"], "members")
+        # Windows: sizes bound the distance where no answer does.
         d = answers.select(F.col("x").alias("id"), F.col("y").alias("pivot"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("d")).groupBy("id", "pivot").agg(F.min("d").alias("d"))
-        known = faced.join(d, ["id", "pivot"], "left")
-        by_size = 1 - F.least("n", "np") / F.greatest("n", "np")
-        placed = known.withColumns(
-            {
-                "low": F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", by_size)),
-                "high": F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))),
-            }
-        ).select("s", "id", "n", "at", "pivot", "low", "high")
-        placed = self.ws.save(self.labelled(placed), "placed")
-        # The pivot's component is its cell; a region all in one cell is done.
-        cells = self.ws.save(placed.groupBy("s", "label").agg(F.min("low").alias("low"), F.max(F.col("id") == F.col("pivot")).alias("home"), F.count("*").alias("members")), "cells")
-        homes = cells.groupBy("s").agg(F.max(F.when(F.col("home"), F.col("label"))).alias("home"), F.sum("members").alias("members"), F.count("*").alias("cells")).where("cells > 1")
-        nearest = cells.where("NOT home").groupBy("s").agg(F.min("low").alias("nearest"))
-        open_ = self.ws.save(homes.join(nearest, "s"), "open")
+        at_pivot = (F.col("id") == F.col("pivot")) & (F.col("n") == F.col("np"))
+        placed = self.ws.save(
+            rows.join(d, ["id", "pivot"], "left").select(
+                "s", "id", "n", "at", "pivot", "np", "label", "home", "members",
+                F.when(at_pivot, 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np"))).alias("low"),
+                F.when(at_pivot, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
+            ),
+            "placed",
+        )
+        nearest = self.ws.save(placed.where("label <> home").groupBy("s").agg(F.min("low").alias("nearest"), F.max("members").alias("members")), "nearest")
         # The pivot itself is answered; of its cell only the boundary goes on.
-        left = lookup_join(placed, open_, ["s"], "members").where(f"id <> pivot AND (label <> home OR high >= nearest - {R} - 1e-9)")
+        left = lookup_join(placed.drop("members"), nearest, ["s"], "members").where(f"NOT (id = pivot AND n = np) AND (label <> home OR high >= nearest - {R} - 1e-9)")
         out = self.ws.save(left.select("s", "id", "n", "at", "label", "low", "high"), "left")
-        self.ws.drop(members, faced, answers, placed, cells, open_)
+        self.ws.drop(answers, named, open_, placed, nearest)
         self.ws.tidy()
         return out
 
     def still_open(self, rows: DataFrame) -> DataFrame:
-        """Regions with texts of two components or more, with size and the next pivot."""
-        per = self.ws.save(
-            rows.groupBy("s").agg(F.count("*").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max_by("id", F.struct("low", "id")).alias("pivot")).where("l1 < l2").drop("l1", "l2"),
-            "regions",
-        )
+        """Rows of regions with texts of two components or more, with size and the next pivot: the outermost."""
+        per = rows.groupBy("s").agg(F.count("*").alias("members"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max(F.struct("low", "id", "n", "at")).alias("p")).where("l1 < l2")
+        per = self.ws.save(per.select("s", "members", F.col("p.id").alias("pivot"), F.col("p.n").alias("np"), F.col("p.at").alias("ap")), "regions")
         return self.ws.save(lookup_join(rows, per, ["s"], "members"), "open-rows")
 
     def leaves(self, rows: DataFrame) -> None:
@@ -318,17 +321,19 @@ class Join:
 
     def run(self) -> None:
         rows = self.regions()
-        left = self.look_at_pivots(rows.select("s", "id", "n", "at", "pivot"))
+        # A text whose set its task had seen shares the first one's component.
+        copies = self.profile.where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"))
+        left = self.look_at_pivots(rows, copies)
         self.ws.drop(rows)
         parts = []
         for level in range(LEVELS):
             open_rows = self.still_open(left)
-            big = open_rows.where(F.col("members") > LEAF) if level < LEVELS - 1 else None
-            if big is None or big.isEmpty():
+            big = open_rows.where(F.col("members") > LEAF)
+            if level == LEVELS - 1 or big.isEmpty():
                 parts.append(open_rows)
                 break
             parts.append(open_rows.where(F.col("members") <= LEAF))
-            left = self.look_at_pivots(big.select("s", "id", "n", "at", "pivot"))
+            left = self.look_at_pivots(big.select("s", "id", "n", "at", "pivot", "np", "ap", "members"))
         columns = ["s", "id", "n", "at", "low", "high"]
         rest = parts[0].select(*columns)
         for p in parts[1:]:
@@ -349,12 +354,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     join = Join(rows.where("id IS NOT NULL"), ws)
     join.run()
-    # A row's component is that of the first row of its task with the same set; repeated ids tie their rows together.
-    node = join.profile.select("id", "n", "first")
-    tied = node.where("id <> first").select(F.col("id").alias("x"), F.col("first").alias("y"), F.lit(1).alias("nx"), F.lit(1).alias("ny"), F.lit(1).alias("both"))
-    join.link(ws.save(tied.distinct(), "copies"))
+    node = join.profile.select("id", "n")
     counted = ws.save(node.groupBy("id").agg(F.count("*").alias("rows")).join(join.label, "id", "left").select("id", "rows", F.coalesce("label", "id").alias("component_id")), "components")
-    done = lookup_join(node.select("id", "n"), counted, ["id"], "rows").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    done = lookup_join(node, counted, ["id"], "rows").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     nameless = rows.where("id IS NULL")
     return done.unionByName(shingle_sets(nameless).select(F.col("id").alias(id_col), F.size("s").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
