@@ -65,6 +65,11 @@ def signature(hashes: str, bands: str) -> str:
     return f"transform(sequence(0, {bands} - 1), j -> array_min(transform({hashes}, x -> xxhash64(x, j))))"
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` and a column that is computed once per row: as a generator's output the optimizer can't repeat it inside lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, length, bands, hashes, texts (its shingles), sig. Templates of fewer than 5 words are refused."""
     rows = []
@@ -98,15 +103,15 @@ def scan(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", tex
     minima = ", ".join(f"{r[0]}L" if r[0] > -(1 << 63) else "(-9223372036854775807L - 1L)" for r in low)
     lengths = sorted({r["length"] for r in sketch})
     # Nothing but the id, words and hit places leaves the scan.
-    base = pick(docs, id=id_col, text=text_col).select("id", words(F.col("text")).alias("w")).where(f"size(w) >= {SHINGLE}")
-    hit = base.withColumn("hits", F.expr(f"filter(sequence(0, size(w) - {SHINGLE}), i -> {shingle_hash('w', 'i')} IN ({minima}))")).where("size(hits) > 0")
+    base = held(pick(docs, id=id_col, text=text_col), "w", words(F.col("text"))).drop("text").where(f"size(w) >= {SHINGLE}")
+    hit = held(base, "hits", F.expr(f"filter(sequence(0, size(w) - {SHINGLE}), i -> {shingle_hash('w', 'i')} IN ({minima}))")).where("size(hits) > 0")
     # Windows that hold a hit: k L <= i <= k L + 2 L - 5.
     per_length = F.explode(F.array(*(F.lit(x) for x in lengths))).alias("length")
     spread = hit.withColumn("row", F.monotonically_increasing_id()).select("id", "row", "w", "hits", per_length)
     at = "array_distinct(flatten(transform(hits, i -> filter(array(i DIV length, i DIV length - 1), k -> k >= 0 AND i <= k * length + 2 * length - 5))))"
-    windows = spread.select("id", "row", "length", "w", F.explode(F.expr(at)).alias("k")).select("id", "row", "length", "k", F.expr("slice(w, cast(k * length + 1 AS int), 2 * length)").alias("w"))
+    windows = held(spread.select("id", "row", "length", F.col("w").alias("all"), F.explode(F.expr(at)).alias("k")), "w", F.expr("slice(all, cast(k * length + 1 AS int), 2 * length)")).where(f"size(w) >= {SHINGLE}")
     bands = F.broadcast(known.groupBy("length").agg(F.max("bands").alias("bands")))
-    signed = windows.join(bands, "length").withColumn("hashes", F.expr(shingle_hashes("w"))).withColumn("sig", F.expr(signature("hashes", "bands"))).drop("hashes", "bands")
+    signed = held(held(windows.join(bands, "length"), "hashes", F.expr(shingle_hashes("w"))), "sig", F.expr(signature("hashes", "bands")))
     theirs = known.select("license", "length", F.posexplode("sig").alias("band", "value"))
     met = signed.select("id", "row", "length", "k", "w", F.posexplode("sig").alias("band", "value")).join(F.broadcast(theirs), ["length", "band", "value"])
     found = met.groupBy("row", "id", "k", "license").agg(F.first("w").alias("w"))
