@@ -206,11 +206,16 @@ class Join:
     def regions(self) -> DataFrame:
         """(s, id, n, at, pivot, np, ap, members) of every coarse region with two texts or more."""
         rows = self.profile.where("id = first").select("id", "n", F.posexplode("prefix").alias("at", "s"))
-        least = rows.groupBy("s").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "at")).alias("p"), F.max("id").alias("last")).where("p.id < last")
-        shared = self.ws.save(least.select("s", "members", F.col("p.id").alias("pivot"), F.col("p.n").alias("np"), F.col("p.at").alias("ap")), "shared")
-        out = self.ws.save(lookup_join(rows, shared, ["s"], "members"), "regions")
+        shared = self.ws.save(rows.groupBy("s").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1"), "shared")
+        met = self.ws.save(lookup_join(rows, shared, ["s"], "members"), "met")
         self.ws.drop(shared)
         self.ws.tidy()
+        # Of rows that repeat an id, one is the pivot.
+        pivots = met.where("id = pivot").groupBy("s", "members").agg(F.min("n").alias("np"), F.min_by("at", F.struct("n", "at")).alias("ap"))
+        pivots = self.ws.save(pivots, "pivots")
+        out = self.ws.save(lookup_join(met.drop("members"), pivots, ["s"], "members"), "regions")
+        self.ws.drop(met, pivots)
+        self.ws.tidy()
         return out
 
     def answer(self, asked: DataFrame) -> DataFrame:
@@ -230,7 +235,9 @@ class Join:
         salts = F.ceil(F.col("asks") / PER_SALT)
         dealt = lookup_join(near, asks, ["y", "ny"], "asks").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x"), salts).alias("salt"))
         held = asks.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")), ["y", "ny"]).select("y", "ny", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
-        pairs = dealt.join(sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")), ["x", "nx"]).join(held, ["y", "ny", "salt"])
+        # Likewise requests go to the sets of their first ends, or both are shuffled.
+        dealt = F.broadcast(dealt) if near.count() <= SENT_IDS // 4 else dealt.hint("merge")
+        pairs = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")).join(dealt, ["x", "nx"]).join(held.hint("merge"), ["y", "ny", "salt"])
         both = F.size(F.array_intersect("sx", "sy"))
         out = ws.save(pairs.select("x", "y", "nx", "ny", both.alias("both")).groupBy("x", "y", "nx", "ny").agg(F.max("both").alias("both")), "answers")
         ws.drop(asked, near, needed, sets)
