@@ -26,13 +26,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.columns import pick
 
 #: Words kept with their ids in a worker, and words remembered as met once.
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 300_000
+CACHED_WORDS = 250_000
+CACHED_PAIRS = 250_000
 END = "</w>"
 #: Any character that the compiled pattern does not cover, or whose lower case it does not.
 _FAR = re.compile("[^\u0000-\u012f\u0131-ſ]")
@@ -292,30 +294,28 @@ def library_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def batches_of(texts: list[str], most: int = 4 << 20) -> Iterator[slice]:
-    """Slices of texts of about ``most`` characters."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def text_slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of runs of rows of about ``most`` bytes: a task holds one run as Python strings. Null: empty."""
+    ids, texts = batch.column(0), batch.column(1)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(ids)]
+    for i, k in zip(cuts, cuts[1:], strict=False):
+        if k > i:
+            yield ids.slice(i, k - i), [t or "" for t in texts.slice(i, k - i).to_pylist()]
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): ids as little-endian unsigned 32-bit integers. Null text: empty."""
     kept = pick(docs, id=id_col, text=text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for s in batches_of(texts):
-                yield pd.DataFrame({"id": b["id"].iloc[s], "ids": enc.encode_batch(texts[s])})
+            for ids, texts in text_slices(b):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(enc.encode_batch(texts), pa.binary())], ["id", "ids"])
 
-    return kept.mapInPandas(run, f"id {kept.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_texts(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -338,22 +338,16 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     kept = pick(docs, id=id_col, text=text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for s in batches_of(texts):
-                ids = enc.encode_batch(texts[s])
-                yield pd.DataFrame(
-                    {
-                        "id": b["id"].iloc[s],
-                        "n_tokens": [len(x) // 4 for x in ids],
-                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                        "decoded_sha256": [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids],
-                    }
-                )
-
-    return kept.mapInPandas(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+            for keys, texts in text_slices(b):
+                ids = enc.encode_batch(texts)
+                sums = [hashlib.sha256(x).hexdigest() for x in ids]
+                back = [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

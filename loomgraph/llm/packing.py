@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.bpe import batches_of, library_encoder
+from loomgraph.llm.bpe import library_encoder, text_slices
 from loomgraph.llm.columns import pick
 from loomgraph.operators.workspace import Workspace
 
@@ -136,23 +137,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
     kept = pick(docs, id=id_col, text=text_col)
     end = SEPARATOR.to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(tokenizer)
         for b in batches:
-            texts, keys = b["text"].fillna("").tolist(), b["id"]
-            for s in batches_of(texts):
-                rows, at = [], []
-                for k, ids in enumerate(enc.encode_batch(texts[s]), s.start):
+            for keys, texts in text_slices(b):
+                rows = []
+                for k, ids in enumerate(enc.encode_batch(texts)):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
-                        at.append(k)
-                out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
-                out.insert(0, "id", keys.iloc[at].to_numpy())
-                yield out
+                        rows.append((k, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                at, *rest = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return kept.mapInPandas(run, f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece")) -> DataFrame:
