@@ -70,6 +70,8 @@ class Complements:
         if gap < 2 or not self.sums[gap]:
             return None
         a = np.arange(min(gap - 1, longest), (gap - 1) // 2, -1)
+        if not len(a):  # two of the longest fall short
+            return None
         b = gap - a
         ok = (self.n[a] > 0) & (self.n[b] > 0) & ((a != b) | (self.n[a] > 1))
         at = int(np.argmax(ok))
