@@ -195,7 +195,10 @@ def bucket_distance(a: str, b: str) -> Column:
 
 
 class Join:
-    """State of one self-join: profiles, links so far, components so far."""
+    """State of one self-join: profiles, links so far, components so far.
+
+    Joins that grow with the corpus are hinted as merge joins, so that plans are the same at every size.
+    """
 
     def __init__(self, docs: DataFrame, ws: Workspace):
         self.docs, self.ws, self.spark = docs, ws, docs.sparkSession
@@ -223,9 +226,9 @@ class Join:
         ws = self.ws
         asked = ws.save(asked, "asked")
         asks = ws.save(
-            asked.groupBy("y", "ny").agg(F.count("*").alias("asks")).join(self.size.toDF("y", "ny", "by"), ["y", "ny"]).groupBy("y", "ny", "by").agg(F.max("asks").alias("asks")), "asks"
+            asked.groupBy("y", "ny").agg(F.count("*").alias("asks")).join(self.size.toDF("y", "ny", "by").hint("merge"), ["y", "ny"]).groupBy("y", "ny", "by").agg(F.max("asks").alias("asks")), "asks"
         )
-        faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx"), ["x", "nx"]), asks, ["y", "ny"], "asks")
+        faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx").hint("merge"), ["x", "nx"]), asks, ["y", "ny"], "asks")
         near = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny").distinct(), "near")
         needed = ws.save(near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct(), "needed")
         # Texts stay where they are while the ids are few enough to be sent, by their count; else both are shuffled.
@@ -234,7 +237,7 @@ class Join:
         asks = asks.select("y", "ny", "asks").distinct()
         salts = F.ceil(F.col("asks") / PER_SALT)
         dealt = lookup_join(near, asks, ["y", "ny"], "asks").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x"), salts).alias("salt"))
-        held = asks.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")), ["y", "ny"]).select("y", "ny", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
+        held = asks.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")).hint("merge"), ["y", "ny"]).select("y", "ny", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
         # Likewise requests go to the sets of their first ends, or both are shuffled.
         dealt = F.broadcast(dealt) if near.count() <= SENT_IDS // 4 else dealt.hint("merge")
         pairs = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")).join(dealt, ["x", "nx"]).join(held.hint("merge"), ["y", "ny", "salt"])
@@ -257,18 +260,18 @@ class Join:
         old = self.label
         named = found
         for c in ("x", "y"):
-            named = named.join(old.toDF(c, f"l{c}"), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
+            named = named.join(old.toDF(c, f"l{c}").hint("merge"), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
         edges = self.ws.save(named.where("x <> y").toDF("a", "b").distinct(), "new-links")
         if edges.isEmpty():
             return
         merged = self.ws.save(connected_components(edges, self.ws).toDF("label", "new"), "merged")
-        ids = old.unionByName(merged.join(old, merged["label"] == old["id"], "left_anti").select(F.col("label").alias("id"), "label"))
+        ids = old.unionByName(merged.join(old.hint("merge"), merged["label"] == old["id"], "left_anti").select(F.col("label").alias("id"), "label"))
         ids = self.ws.save(ids, "ids")
-        renamed = self.ws.save(ids.groupBy("label").agg(F.count("*").alias("rows")).join(merged, "label", "left").select("label", "rows", F.coalesce("new", "label").alias("new")), "renamed")
+        renamed = self.ws.save(ids.groupBy("label").agg(F.count("*").alias("rows")).join(merged.hint("merge"), "label", "left").select("label", "rows", F.coalesce("new", "label").alias("new")), "renamed")
         self.label = self.ws.save(lookup_join(ids, renamed, ["label"], "rows").select("id", F.col("new").alias("label")), "labels")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        named = rows.join(self.label.toDF("id", "label_"), "id", "left")
+        named = rows.join(self.label.toDF("id", "label_").hint("merge"), "id", "left")
         return named.withColumn("label", F.coalesce("label_", "id")).drop("label_")
 
     def look_at_pivots(self, faced: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -290,7 +293,7 @@ class Join:
         d = answers.select(F.col("x").alias("id"), F.col("y").alias("pivot"), (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("d")).groupBy("id", "pivot").agg(F.min("d").alias("d"))
         at_pivot = (F.col("id") == F.col("pivot")) & (F.col("n") == F.col("np"))
         placed = self.ws.save(
-            rows.join(d, ["id", "pivot"], "left").select(
+            rows.join(d.hint("merge"), ["id", "pivot"], "left").select(
                 "s", "id", "n", "at", "pivot", "np", "label", "home", "members",
                 F.when(at_pivot, 0.0).otherwise(F.coalesce("d", 1 - F.least("n", "np") / F.greatest("n", "np"))).alias("low"),
                 F.when(at_pivot, 0.0).otherwise(F.coalesce("d", F.lit(1.0))).alias("high"),
@@ -322,7 +325,7 @@ class Join:
             & (F.col("lowx") - F.col("highy") <= R + 1e-9)
             & (F.col("lowy") - F.col("highx") <= R + 1e-9)
         )
-        asked = a.join(b, "s").where(window).select(F.col("idx").alias("x"), F.col("idy").alias("y"), "nx", "ny").distinct()
+        asked = a.join(b.hint("merge"), "s").where(window).select(F.col("idx").alias("x"), F.col("idy").alias("y"), "nx", "ny").distinct()
         answers = self.answer(asked)
         self.link(answers)
 
@@ -362,7 +365,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = Join(rows.where("id IS NOT NULL"), ws)
     join.run()
     node = join.profile.select("id", "n")
-    counted = ws.save(node.groupBy("id").agg(F.count("*").alias("rows")).join(join.label, "id", "left").select("id", "rows", F.coalesce("label", "id").alias("component_id")), "components")
+    counted = ws.save(node.groupBy("id").agg(F.count("*").alias("rows")).join(join.label.hint("merge"), "id", "left").select("id", "rows", F.coalesce("label", "id").alias("component_id")), "components")
     done = lookup_join(node, counted, ["id"], "rows").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     nameless = rows.where("id IS NULL")
     return done.unionByName(shingle_sets(nameless).select(F.col("id").alias(id_col), F.size("s").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
