@@ -124,12 +124,12 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """docs(id, text) -> (id, n, first, buckets, prefix): set size, the first row of the task with the same set, contraction, coarse pivots in order.
+    """docs(id, text) -> (id, n, first, buckets, digest, prefix): set size, the first row of the task with the same set, contraction, 128-bit hash of the set, coarse pivots in order.
 
     Rows whose set the task has seen carry no prefix: they share ``first``'s component.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
-    fields = [("id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("buckets", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+    fields = [("id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("buckets", pa.binary()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
@@ -141,13 +141,14 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             for i, t in zip(ids, texts, strict=True):
                 s = shingles(t.as_py())
                 n = len(s)
-                first = seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), i) if n else i
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                first = seen.setdefault(digest, i) if n else i
                 prefix = np.empty(0, dtype=np.int64)
                 if n and first == i:
                     order = np.argsort(counts[_counter(s)], kind="stable")
                     prefix = s[order[: n // 5 + 1]].view(np.int64)
                 buckets = np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-                out.append((i, n, first, buckets.tobytes(), prefix))
+                out.append((i, n, first, buckets.tobytes(), digest, prefix))
                 size += len(prefix)
                 if size > 500_000:
                     yield batch(out)
@@ -157,11 +158,11 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        ends = np.cumsum([0, *map(len, columns[4])], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4])))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns[:4], fields, strict=False)), lists], [f[0] for f in fields])
+        ends = np.cumsum([0, *map(len, columns[5])], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[5])))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns[:5], fields, strict=False)), lists], [f[0] for f in fields])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, first long, buckets binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, first long, buckets binary, digest binary, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ class Join:
     def __init__(self, docs: DataFrame, ws: Workspace):
         self.docs, self.ws, self.spark = docs, ws, docs.sparkSession
         self.profile = ws.save(profiles(docs, frequency_sketch(docs)), "profiles")
-        self.size = self.profile.select("id", "n", "buckets").where("n > 0").distinct()
+        self.size = self.profile.select("id", "n", "buckets", "digest").where("n > 0").distinct()
         self.label: DataFrame | None = None  # (id, label) of texts in some link
 
     def regions(self) -> DataFrame:
@@ -226,15 +227,17 @@ class Join:
         ws = self.ws
         asked = ws.save(asked, "asked")
         asks = ws.save(
-            asked.groupBy("y", "ny").agg(F.count("*").alias("asks")).join(self.size.toDF("y", "ny", "by").hint("merge"), ["y", "ny"]).groupBy("y", "ny", "by").agg(F.max("asks").alias("asks")), "asks"
+            asked.groupBy("y", "ny").agg(F.count("*").alias("asks")).join(self.size.toDF("y", "ny", "by", "hy").hint("merge"), ["y", "ny"]).groupBy("y", "ny", "by", "hy").agg(F.max("asks").alias("asks")), "asks"
         )
-        faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx").hint("merge"), ["x", "nx"]), asks, ["y", "ny"], "asks")
-        near = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny").distinct(), "near")
+        faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx", "hx").hint("merge"), ["x", "nx"]), asks, ["y", "ny"], "asks")
+        faced = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny", (F.col("hx") == F.col("hy")).alias("same")).distinct(), "faced")
+        # Equal sets, by their 128-bit hashes, need no look at the shingles.
+        near = ws.save(faced.where("NOT same").drop("same"), "near")
         needed = ws.save(near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct(), "needed")
         # Texts stay where they are while the ids are few enough to be sent, by their count; else both are shuffled.
         wanted = F.broadcast(needed) if needed.count() <= SENT_IDS else needed.hint("merge")
         sets = ws.save(shingle_sets(self.docs.join(wanted, "id", "left_semi")).withColumn("n", F.size("s").cast("long")), "sets")
-        asks = asks.select("y", "ny", "asks").distinct()
+        asks = ws.save(near.groupBy("y", "ny").agg(F.count("*").alias("asks")), "asks")
         salts = F.ceil(F.col("asks") / PER_SALT)
         dealt = lookup_join(near, asks, ["y", "ny"], "asks").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x"), salts).alias("salt"))
         held = asks.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")).hint("merge"), ["y", "ny"]).select("y", "ny", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
@@ -242,8 +245,9 @@ class Join:
         dealt = F.broadcast(dealt) if near.count() <= SENT_IDS // 4 else dealt.hint("merge")
         pairs = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")).join(dealt, ["x", "nx"]).join(held.hint("merge"), ["y", "ny", "salt"])
         both = F.size(F.array_intersect("sx", "sy"))
-        out = ws.save(pairs.select("x", "y", "nx", "ny", both.alias("both")).groupBy("x", "y", "nx", "ny").agg(F.max("both").alias("both")), "answers")
-        ws.drop(asked, near, needed, sets)
+        equal = faced.where("same").select("x", "y", "nx", "ny", F.col("nx").alias("both"))
+        out = ws.save(pairs.select("x", "y", "nx", "ny", both.alias("both")).unionByName(equal).groupBy("x", "y", "nx", "ny").agg(F.max("both").alias("both")), "answers")
+        ws.drop(asked, faced, near, needed, sets)
         ws.tidy()
         return out
 
