@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,18 +140,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return out
 
 
+def _scores(model: Model, sizes: Sizes, texts: pa.Array) -> np.ndarray:
+    """Scores of a column of texts, one text at a time."""
+    return model.score(np.array([sizes.features(t.as_py() or "") for t in texts], dtype=float).reshape(len(texts), 7))
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, score, predicted) per row, by the text alone. Null text is empty; an empty text scores 0."""
     kept = pick(docs, id=id_col, text=text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = model.sizes()
         for b in batches:
-            x = np.array([sizes.features(t or "") for t in b["text"]], dtype=float).reshape(len(b), 7)
-            score = model.score(x)
-            yield pd.DataFrame({"id": b["id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            score = _scores(model, sizes, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    return kept.mapInPandas(run, f"id {kept.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -163,14 +167,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = train(docs, labels, id_col, text_col)
     names = [f.name for f in docs.schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = model.sizes()
         for b in batches:
-            x = np.array([sizes.features(t or "") for t in b.iloc[:, at]], dtype=float).reshape(len(b), 7)
-            yield b[model.score(x) >= threshold]
+            yield b.filter(pa.array(_scores(model, sizes, b.column(at)) >= threshold))
 
     at = names.index(text_col)
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
