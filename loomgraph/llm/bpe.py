@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.columns import pick
+from loomgraph.llm.worker import lean
 
 #: Words kept with their ids in a worker, and words remembered as met once.
 CACHED_WORDS = 250_000
@@ -315,7 +316,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             for ids, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(enc.encode_batch(texts), pa.binary())], ["id", "ids"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_texts(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -347,7 +348,7 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 back = [hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.columns import pick
+from loomgraph.llm.worker import lean
 
 #: Row length of stored payloads, rows of one frame and hundredths of a second it shows.
 WIDTH, ROWS, DELAY = 576, 16, 4
@@ -310,7 +311,7 @@ def frame_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[1:9]})
 
     kinds = f"id {kept.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{c}` long" for c in names[1:9]) + ", red array<long>, green array<long>, blue array<long>, error string"
-    return kept.mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    return kept.mapInPandas(lean(run), kinds).withColumnRenamed("id", id_col)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +333,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if ids:
                 yield pd.DataFrame({"id": ids, "n_bytes": sizes, "media": media})
 
-    return kept.mapInPandas(run, f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return kept.mapInPandas(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def stored_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -361,7 +362,7 @@ def stored_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield out
 
     kinds = f"id {kept.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return kept.mapInPandas(run, kinds).withColumnRenamed("id", id_col)
+    return kept.mapInPandas(lean(run), kinds).withColumnRenamed("id", id_col)
 
 
 def op3_gif(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ from loomgraph.llm.columns import pick
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
+from loomgraph.llm.worker import lean
 
 WORDS = 5
 #: Largest distance of a link.
@@ -116,9 +117,9 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         if total is not None:
             yield packed(total)
 
-    sums = docs.select("text").mapInArrow(count, "counts binary")
+    sums = docs.select("text").mapInArrow(lean(count), "counts binary")
     for parts in (64, 8, 1):
-        sums = sums.repartition(parts).mapInArrow(add, "counts binary")
+        sums = sums.repartition(parts).mapInArrow(lean(add), "counts binary")
     rows = sums.collect()  # one row of fixed size
     return sum((np.frombuffer(zlib.decompress(r[0]), dtype="<i8") for r in rows), np.zeros(size, dtype=np.int64))
 
@@ -162,7 +163,7 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[5])))
         return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns[:5], fields, strict=False)), lists], [f[0] for f in fields])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, first long, buckets binary, digest binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n long, first long, buckets binary, digest binary, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start:at], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "s"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, s array<long>")
 
 
 def bucket_distance(a: str, b: str) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.bpe import library_encoder, text_slices
 from loomgraph.llm.columns import pick
 from loomgraph.operators.workspace import Workspace
+from loomgraph.llm.worker import lean
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -153,7 +154,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece")) -> DataFrame:
@@ -186,7 +187,7 @@ def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, keys: tuple
             yield b.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInPandas(lean(place), f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

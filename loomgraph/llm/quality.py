@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import pick
+from loomgraph.llm.worker import lean
 
 #: At most so many labelled documents of each class are fitted on, by the hash of their
 #: ids, and at most so many characters of all; half build dictionaries, half calibrate.
@@ -155,7 +156,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             score = _scores(model, sizes, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -173,7 +174,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             yield b.filter(pa.array(_scores(model, sizes, b.column(at)) >= threshold))
 
     at = names.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from loomgraph.llm.columns import pick
 from loomgraph.llm.storage import open_fs
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
+from loomgraph.llm.worker import lean
 
 #: Uncompressed bytes after which a new archive begins.
 ROLL_BYTES = 64 << 20
@@ -151,7 +152,7 @@ def write_archives(records: DataFrame, folder: str, roll: int = ROLL_BYTES, leve
 
     Every partition writes archives of about ``roll`` bytes, each one gzip stream.
     """
-    return records.select("id", "url", "payload", "digest", "refers_to").mapInPandas(_writer(folder, roll, level), "archive string, records long, bytes long")
+    return records.select("id", "url", "payload", "digest", "refers_to").mapInPandas(lean(_writer(folder, roll, level)), "archive string, records long, bytes long")
 
 
 def _normaliser(folder: str, level: int):
@@ -178,7 +179,7 @@ def _normaliser(folder: str, level: int):
 
 def normalise_archives(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """archives(archive) of any gzip layout -> the same records, a member each, beside ``<archive>.idx``."""
-    return archives.select("archive").mapInPandas(_normaliser(folder, level), "archive string, records long, bytes long")
+    return archives.select("archive").mapInPandas(lean(_normaliser(folder, level)), "archive string, records long, bytes long")
 
 
 def read_index(archive: str) -> list[dict]:
@@ -228,7 +229,7 @@ RECORD_TYPES = {"id": "string", "payload_bytes": "long", "payload_digest": "stri
 def read_records(archives: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Records of normalised archives, each found by its offset in the sidecar index."""
     columns = columns or list(RECORD_TYPES)
-    return archives.select("archive").mapInPandas(_reader(columns), ", ".join(f"{c} {RECORD_TYPES[c]}" for c in columns))
+    return archives.select("archive").mapInPandas(lean(_reader(columns)), ", ".join(f"{c} {RECORD_TYPES[c]}" for c in columns))
 
 
 def mark_revisits(pages: DataFrame, ws: Workspace, least_bytes: int = 0) -> DataFrame:
@@ -252,7 +253,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     ws = Workspace(pages.sparkSession, "warc")
     rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).where("id IS NOT NULL")
     marked = mark_revisits(rows, ws, least_bytes)
-    with_digest = marked.select(F.col("id").cast("string").alias("id"), "url", "payload", "refers_to").mapInPandas(_digests, "id string, url string, payload binary, digest string, refers_to string")
+    with_digest = marked.select(F.col("id").cast("string").alias("id"), "url", "payload", "refers_to").mapInPandas(lean(_digests), "id string, url string, payload binary, digest string, refers_to string")
     plain = ws.save(write_archives(with_digest, ws.path("streams"), roll), "written")
     members = ws.save(normalise_archives(plain.repartition(max(1, plain.count())), ws.path("members")), "normalised")
     return members, ws
