@@ -83,6 +83,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    """128-bit hash of a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)
 
@@ -142,7 +147,7 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             for i, t in zip(ids, texts, strict=True):
                 s = shingles(t.as_py())
                 n = len(s)
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                digest = _digest(s)
                 first = seen.setdefault(digest, i) if n else i
                 prefix = np.empty(0, dtype=np.int64)
                 if n and first == i:
@@ -167,7 +172,7 @@ def profiles(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> (id, s array<long>)."""
+    """docs(id, text) -> (id, digest, s array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,9 +185,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     size += len(sets[-1])
                     at += 1
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:at], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start:at], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "digest", "s"])
 
-    return docs.select("id", "text").mapInArrow(lean(run), "id long, s array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, digest binary, s array<long>")
 
 
 def bucket_distance(a: str, b: str) -> Column:
@@ -231,23 +236,25 @@ class Join:
             asked.groupBy("y", "ny").agg(F.count("*").alias("asks")).join(self.size.toDF("y", "ny", "by", "hy").hint("merge"), ["y", "ny"]).groupBy("y", "ny", "by", "hy").agg(F.max("asks").alias("asks")), "asks"
         )
         faced = lookup_join(asked.join(self.size.toDF("x", "nx", "bx", "hx").hint("merge"), ["x", "nx"]), asks, ["y", "ny"], "asks")
-        faced = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny", (F.col("hx") == F.col("hy")).alias("same")).distinct(), "faced")
-        # Equal sets, by their 128-bit hashes, need no look at the shingles.
-        near = ws.save(faced.where("NOT same").drop("same"), "near")
+        faced = ws.save(faced.where(9 * bucket_distance("bx", "by") <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny", "hx", "hy").distinct(), "faced")
+        # Equal sets, by their 128-bit hashes, need no look at the shingles; copies of two sets are compared once.
+        near = ws.save(faced.where("hx <> hy").groupBy("hx", "hy", "nx", "ny").agg(F.min(F.struct("x", "y")).alias("p"), F.count("*").alias("rows")).select("hx", "hy", "nx", "ny", "p.x", "p.y", "rows"), "near")
         needed = ws.save(near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct(), "needed")
         # Texts stay where they are while the ids are few enough to be sent, by their count; else both are shuffled.
         wanted = F.broadcast(needed) if needed.count() <= SENT_IDS else needed.hint("merge")
-        sets = ws.save(shingle_sets(self.docs.join(wanted, "id", "left_semi")).withColumn("n", F.size("s").cast("long")), "sets")
-        asks = ws.save(near.groupBy("y", "ny").agg(F.count("*").alias("asks")), "asks")
+        sets = ws.save(shingle_sets(self.docs.join(wanted, "id", "left_semi")), "sets")
+        asks = ws.save(near.groupBy("y", "hy").agg(F.count("*").alias("asks")), "asks")
         salts = F.ceil(F.col("asks") / PER_SALT)
-        dealt = lookup_join(near, asks, ["y", "ny"], "asks").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x"), salts).alias("salt"))
-        held = asks.join(sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy")).hint("merge"), ["y", "ny"]).select("y", "ny", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
+        dealt = lookup_join(near, asks, ["y", "hy"], "asks").select("hx", "hy", "rows", "x", "y", F.pmod(F.xxhash64("x"), salts).alias("salt"))
+        held = asks.join(sets.toDF("y", "hy", "sy").hint("merge"), ["y", "hy"]).select("y", "hy", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "sy")
         # Likewise requests go to the sets of their first ends, or both are shuffled.
         dealt = F.broadcast(dealt) if near.count() <= SENT_IDS // 4 else dealt.hint("merge")
-        pairs = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx")).join(dealt, ["x", "nx"]).join(held.hint("merge"), ["y", "ny", "salt"])
+        pairs = sets.toDF("x", "hx", "sx").join(dealt, ["x", "hx"]).join(held.hint("merge"), ["y", "hy", "salt"])
         both = F.size(F.array_intersect("sx", "sy"))
-        equal = faced.where("same").select("x", "y", "nx", "ny", F.col("nx").alias("both"))
-        out = ws.save(pairs.select("x", "y", "nx", "ny", both.alias("both")).unionByName(equal).groupBy("x", "y", "nx", "ny").agg(F.max("both").alias("both")), "answers")
+        seen = ws.save(pairs.select("hx", "hy", "rows", both.alias("both")).groupBy("hx", "hy").agg(F.max("both").alias("both"), F.max("rows").alias("rows")), "seen")
+        told = lookup_join(faced.where("hx <> hy"), seen, ["hx", "hy"], "rows").select("x", "y", "nx", "ny", "both")
+        equal = faced.where("hx = hy").select("x", "y", "nx", "ny", F.col("nx").alias("both"))
+        out = ws.save(told.unionByName(equal.withColumn("both", F.col("both").cast("int"))).groupBy("x", "y", "nx", "ny").agg(F.max("both").alias("both")), "answers")
         ws.drop(asked, faced, near, needed, sets)
         ws.tidy()
         return out
