@@ -67,7 +67,7 @@ def rule_extractor(prompt: str) -> str:
     """Capitalised runs are topics, addresses persons; neighbours in a sentence are mentioned together."""
     body = prompt.split("\n\n", 1)[-1]
     people = list(dict.fromkeys(re.findall(r"[\w.]+@[\w.]+", prompt)))
-    names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})*", body)))[:15]
+    names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})*", body)))
     claims = [{"claim_type": "mentioned_in", "subject": a, "object": b, "excerpt": f"{a} {b}", "confidence": 0.8} for a, b in zip(names, names[1:], strict=False)]
     found = [{"name": p, "entity_type": "person", "aliases": []} for p in people] + [{"name": n, "entity_type": "topic", "aliases": []} for n in names]
     return json.dumps({"entities": found, "claims": claims})

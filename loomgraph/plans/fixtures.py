@@ -37,8 +37,8 @@ JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nati
 JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey""",
 }
 #: Capitalised words per document with their place, in the dialect of each engine.
-TOK_SPARK = "SELECT doc_id, cast(p AS BIGINT) AS idx, name FROM documents LATERAL VIEW posexplode(slice(regexp_extract_all(text, '[A-Z][a-z]{3,}', 0), 1, 15)) t AS p, name"
-TOK_DUCKDB = "SELECT doc_id, cast(i - 1 AS BIGINT) AS idx, a[i] AS name FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{3,}', 0)[1:15] AS a FROM documents) t, generate_series(1, len(a)) g(i)"
+TOK_SPARK = "SELECT doc_id, cast(p AS BIGINT) AS idx, name FROM documents LATERAL VIEW posexplode(regexp_extract_all(text, '[A-Z][a-z]{3,}', 0)) t AS p, name"
+TOK_DUCKDB = "SELECT doc_id, cast(i - 1 AS BIGINT) AS idx, a[i] AS name FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{3,}', 0) AS a FROM documents) t, generate_series(1, len(a)) g(i)"
 MENTIONS = """
 SELECT t.doc_id AS artifact_id, t.idx, t.name,
        CASE (length(t.name) + t.doc_id) % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'person' ELSE 'topic' END AS entity_type,
@@ -52,8 +52,9 @@ SELECT t.doc_id AS artifact_id, t.idx,
        t.name || ' ' || coalesce(n.name, '') AS excerpt,
        cast(5 + (t.doc_id + t.idx) % 6 AS DOUBLE) / 10 AS confidence
 FROM tok t LEFT JOIN tok n ON n.doc_id = t.doc_id AND n.idx = t.idx + 1"""
-#: ord of a mention or claim: artifact, then place.
-PER_DOC = 1000
+#: ord of a mention or claim: artifact, then place. A text with more mentions is refused, not mixed with the next.
+PER_DOC = 10_000_000
+ORD = f"artifact_id * {PER_DOC} + CASE WHEN idx < {PER_DOC} THEN idx ELSE raise_error('a text has too many mentions') END"
 TABLES = {"mail_raw": ["conversations"], "kg_nodes": ["region", "nation", "supplier", "customer", "part"], "kg_aliases": ["nation", "customer"], "kg_edges": ["nation", "supplier", "customer", "lineitem", "orders"], "comm": ["lineitem", "orders", "supplier", "nation", "customer"]}
 
 
@@ -74,12 +75,12 @@ def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok(spark, sf_dir).createOrReplaceTempView("tok")
-    return spark.sql(f"SELECT artifact_id * {PER_DOC} + idx AS ord, artifact_id, name, entity_type, CASE WHEN alias IS NULL THEN array() ELSE array(alias) END AS aliases FROM ({MENTIONS})")
+    return spark.sql(f"SELECT {ORD} AS ord, artifact_id, name, entity_type, CASE WHEN alias IS NULL THEN array() ELSE array(alias) END AS aliases FROM ({MENTIONS})")
 
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok(spark, sf_dir).createOrReplaceTempView("tok")
-    return spark.sql(f"SELECT artifact_id * {PER_DOC} + idx AS ord, artifact_id, cast(NULL AS STRING) AS date, claim_type, subject, object, cast(idx AS STRING) AS detail, excerpt, confidence FROM ({RAW_CLAIMS})")
+    return spark.sql(f"SELECT {ORD} AS ord, artifact_id, cast(NULL AS STRING) AS date, claim_type, subject, object, cast(idx AS STRING) AS detail, excerpt, confidence FROM ({RAW_CLAIMS})")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
