@@ -19,7 +19,7 @@ SELECT 'region:' || cast(r_regionkey AS STRING) AS id, r_name AS canonical_name,
 UNION ALL SELECT 'nation:' || cast(n_nationkey AS STRING), n_name, 'organization', cast(n_nationkey % 9 + 1 AS BIGINT) FROM nation
 UNION ALL SELECT 'supplier:' || cast(s_suppkey AS STRING), s_name, 'organization', cast(s_suppkey % 17 + 1 AS BIGINT) FROM supplier
 UNION ALL SELECT 'customer:' || cast(c_custkey AS STRING), c_name, 'person', cast(c_custkey % 23 + 1 AS BIGINT) FROM customer
-UNION ALL SELECT 'part:' || cast(p_partkey AS STRING), p_name || ' ' || cast(p_partkey AS STRING), 'project', cast(1 AS BIGINT) FROM part WHERE p_partkey < 100""",
+UNION ALL SELECT 'part:' || cast(p_partkey AS STRING), p_name || ' ' || cast(p_partkey AS STRING), 'project', cast(1 AS BIGINT) FROM part""",
     "kg_aliases": """
 SELECT 'nation:' || cast(n_nationkey AS STRING) AS id, lower(replace(n_name, '_', ' ')) AS alias FROM nation
 UNION ALL SELECT 'customer:' || cast(c_custkey AS STRING), lower(replace(c_name, '#', '.')) || '@corp.com' FROM customer""",
@@ -29,7 +29,7 @@ UNION ALL SELECT 'supplier:' || cast(s_suppkey AS STRING), 'nation:' || cast(s_n
 UNION ALL SELECT 'customer:' || cast(c_custkey AS STRING), 'nation:' || cast(c_nationkey AS STRING), 'WORKS_AT', cast(0.8 AS DOUBLE), cast(1 AS BIGINT) FROM customer
 UNION ALL SELECT 'nation:' || cast(n_nationkey AS STRING), 'nation:' || cast(n_nationkey AS STRING), 'DECIDED', cast(0.6 AS DOUBLE), cast(1 AS BIGINT) FROM nation WHERE n_nationkey % 7 = 0
 UNION ALL SELECT 'customer:' || cast(o_custkey AS STRING), 'supplier:' || cast(l_suppkey AS STRING), 'COMMUNICATED_WITH', cast(5 + count(*) % 6 AS DOUBLE) / 10, cast(count(*) AS BIGINT)
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY o_custkey, l_suppkey""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey""",
     "comm": """
 SELECT lower(sn.n_name) || '@enron.com' AS sender, lower(cn.n_name) || '@enron.com' AS recipient, lower(sn.n_name) AS mailbox
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey

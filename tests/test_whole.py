@@ -1,10 +1,11 @@
 """Queries cover whole tables: checked against the tables themselves, not against shared SQL."""
 
 import re
+from collections import Counter
 
 from conftest import SF
 
-from loomgraph.operators import extract
+from loomgraph.operators import extract, graph
 from loomgraph.plans import fixtures as fx
 
 
@@ -28,3 +29,15 @@ def test_rule_extractor_names_all(spark):
     names = [f"Topic{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60)]
     got = extract.valid_entities(extract.parse_answers(spark.createDataFrame([("1", extract.rule_extractor("h\n\n" + ". ".join(names)))], "id string, raw string")))
     assert [r["name"] for r in got.orderBy("pos").collect()] == names
+
+
+def test_graph_holds_all_parts_and_lineitems(spark):
+    customer = {r["o_orderkey"]: r["o_custkey"] for r in fx.table(spark, SF, "orders").collect()}
+    lines = fx.table(spark, SF, "lineitem").select("l_orderkey", "l_suppkey").collect()
+    want = Counter((f"customer:{customer[r['l_orderkey']]}", f"supplier:{r['l_suppkey']}") for r in lines if r["l_orderkey"] in customer)
+    nodes, edges = fx.graph(spark, SF)
+    got = {(r["src"], r["dst"]): r["mention_count"] for r in edges.where("rel_type = 'COMMUNICATED_WITH'").collect()}
+    assert got == want
+    parts = {f"part:{r['p_partkey']}" for r in fx.table(spark, SF, "part").collect()}
+    assert {r["id"] for r in nodes.where("id LIKE 'part:%'").collect()} == parts
+    assert {r["id"] for r in graph.isolated(nodes, edges).collect()} >= parts
