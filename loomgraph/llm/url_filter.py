@@ -8,12 +8,18 @@ component an explicit allow outweighs any block.
 
 from __future__ import annotations
 
+import html as html_names
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import ascii_lower, pick
+from loomgraph.llm.worker import lean
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
@@ -69,19 +75,71 @@ def url_node(url: Column) -> Column:
     return F.when(at > 0, F.concat(ascii_lower(F.substring(bare, F.lit(1), at + 2)), ascii_lower(host), F.substring(rest, F.length(host) + 1, F.length(rest))))
 
 
-def page_targets(url: Column, html: Column) -> Column:
-    """Array of the canonical link and the meta-refresh target of a page, absolute or host-relative."""
-    attr = r"\s*=\s*[\"']?([^\"'\s>]+)"
-    # One tag, its attributes in either order.
-    canonical = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref" + attr, 1), F.lit("")),
-        F.lit(None),
-    )
-    refresh = F.nullif(F.regexp_extract(html, r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit(""))
-    base = F.concat(F.regexp_extract(url, r"^([^/]*://)", 1), url_host(url))
-    whole = lambda t: F.when(F.instr(t, F.lit("://")) > 0, t).when(F.startswith(t, F.lit("//")), F.concat(F.regexp_extract(url, r"^([^/]*:)", 1), t)).when(F.startswith(t, F.lit("/")), F.concat(base, t))
-    found = F.array(whole(canonical), whole(refresh))
-    return F.when(html.contains("canonical") | html.rlike("(?i)refresh|canonical"), F.array_compact(found)).otherwise(F.array().cast("array<string>"))
+_TAG = re.compile(r"""<(link|meta|base)\b((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?!=)))")
+_REFRESH = re.compile(r"""\s*(?:[0-9.]+[\s;,]+(?:url\s*=\s*)?|[\s;,]*url\s*=\s*)(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_BASE = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)(\??[^#]*)")
+
+
+def decode_entities(value: str) -> str:
+    """An attribute's text: names without a semicolon count only where no ``=`` follows."""
+    return _ENTITY.sub(lambda m: html_names.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], value)
+
+
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    segments = path.split("/")[1:]
+    for x in segments:
+        if x == "..":
+            del out[-1:]
+        elif x != ".":
+            out.append(x)
+    return "/" + "/".join([*out, ""] if segments[-1:] in (["."], [".."]) else out)
+
+
+def resolve_target(base: str, target: str) -> str | None:
+    """A link's target as an absolute url (RFC 3986); null for schemes without ``//`` and where the base has none. Absolute ones stay as they are."""
+    target = re.sub(r"[\t\n\r]", "", target.strip())
+    if m := _SCHEME.match(target):
+        return target if target.startswith("//", m.end()) else None
+    if not (m := _BASE.match(base)):
+        return None
+    scheme, authority, path, query = m.groups()
+    if target.startswith("//"):
+        return scheme + target
+    to, rest = re.match(r"(?s)([^?#]*)(.*)", target).groups()
+    if not to:
+        return scheme + authority + path + (rest if rest.startswith("?") else query)
+    return scheme + authority + _without_dots(to if to.startswith("/") else (path.rpartition("/")[0] if path else "") + "/" + to) + rest
+
+
+def page_targets(url: str, html: str) -> list[str]:
+    """The targets of all canonical links and meta refreshes of a page, as absolute urls."""
+    found, base = [], url
+    for m in reversed(list(_TAG.finditer(html))):
+        # Of repeated attributes the first counts, of base tags too.
+        own = {k.lower(): decode_entities(a or b or c) for k, a, b, c in reversed(_ATTRIBUTE.findall(m[2]))}
+        kind = m[1].lower()
+        if kind == "base" and "href" in own:
+            base = resolve_target(url, own["href"]) or url
+        elif kind == "link" and "canonical" in own.get("rel", "").lower().split() and own.get("href", "").strip():
+            found.append(own["href"])
+        elif kind == "meta" and own.get("http-equiv", "").strip().lower() == "refresh" and (r := _REFRESH.match(own.get("content", ""))):
+            found.append(r[1] or r[2] or r[3] or "")
+    return [x for t in found if (x := resolve_target(base, t))]
+
+
+def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(u, t) for u, h in zip(b["url"], b["html"], strict=True) for t in page_targets(u, h)], columns=["url", "t"])
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """pages(url, html) -> (url, t), a row per canonical link and meta refresh. Only pages with such words reach Python."""
+    some = pages.where("url IS NOT NULL").where(F.col("html").rlike("(?i)refresh|canonical"))
+    return some.select("url", "html").mapInPandas(lean(_link_rows), "url string, t string")
 
 
 def judge_urls(
@@ -105,8 +163,7 @@ def judge_urls(
     rows = pick(pages, id=id_col, url=url_col)
     edges = None
     if html_col is not None:
-        full = pick(pages, url=url_col, html=html_col).where("url IS NOT NULL AND html IS NOT NULL")
-        edges = full.select(url_node(F.col("url")).alias("a"), F.explode(page_targets(F.col("url"), F.col("html"))).alias("t")).select("a", url_node(F.col("t")).alias("b"))
+        edges = page_links(pick(pages, url=url_col, html=html_col)).select(url_node(F.col("url")).alias("a"), url_node(F.col("t")).alias("b"))
     if redirects is not None:
         more = pick(redirects, src="src", dst="dst").select(url_node(F.col("src")).alias("a"), url_node(F.col("dst")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
