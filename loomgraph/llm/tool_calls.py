@@ -3,13 +3,14 @@
 Messages hold calls as ``<tool_call>{"id": ..., "name": ..., "arguments": {...}}</tool_call>``
 and results as ``<tool_result>{"id": ..., "content": ...}</tool_result>``.  Calls and results
 meet in a hash join on conversation and identifier.  Calls that use other calls'
-results (a string ``${id}`` anywhere in the arguments) are put in topological order,
-one distributed round per level.  Arguments are validated against JSON schemas,
+results (a string ``${id}`` anywhere in the arguments) are put in topological order
+in distributed rounds, however deep they are.  Arguments are validated against JSON schemas,
 and everything is written as canonical JSON: sorted keys, no spaces, UTF-8.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from loomgraph.llm.columns import pick
 from loomgraph.operators.workspace import Workspace
 
-#: Conversations may nest so many levels of dependent calls; beyond it the rest counts as circular.
-MOST_LEVELS = 1000
 _TAG = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
 _USE = re.compile(r"\$\{([^}]+)\}")
 
@@ -146,18 +145,38 @@ def parse_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 def order_calls(calls: DataFrame, ws: Workspace) -> DataFrame:
     """calls(conv, call_id, uses) -> (conv, call_id, level): 0 uses none, else one more than the highest it uses; null in circles or after them.
 
-    Uses of calls that the conversation does not have are ignored here.
+    Uses of calls that the conversation does not have are ignored here. An edge (needs, w) says that
+    the level is w more than that of ``needs``, or w at least where ``needs`` is null. An edge to a call that waits
+    for one other only goes on to that one, so rounds grow with the logarithm of a chain's length. All edges
+    lead to calls before their own, so the lowest level left is ready in every round: one that adds no call proves circles.
     """
-    needs = ws.save(calls.select("conv", "call_id", F.explode("uses").alias("needs")).join(calls.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"]).distinct(), "needs")
-    done = ws.save(calls.select("conv", "call_id").join(needs, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level")), "level")
-    for level in range(1, MOST_LEVELS):
-        open_ = needs.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
-        ready = open_.join(done.select("conv", F.col("call_id").alias("needs"), "level"), ["conv", "needs"], "left").groupBy("conv", "call_id").agg(F.max(F.col("level").isNull()).alias("waits")).where("NOT waits")
-        more = ws.save(ready.select("conv", "call_id", F.lit(level).alias("level")), "level")
-        if more.isEmpty():
+    key = ["conv", "call_id"]
+    needs = calls.select(*key, F.explode("uses").alias("needs")).join(calls.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"]).select(*key, "needs", F.lit(1).cast("long").alias("w")).distinct()
+    edges = ws.save(needs, "needs")
+    new = ws.save(calls.select(*key).join(edges, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    done = [new]
+    # Sums run over only in circles, where levels are null.
+    more = F.try_add
+    while True:
+        told = edges.join(new.select("conv", F.col("call_id").alias("needs"), "level"), ["conv", "needs"], "left")
+        told = told.select(*key, F.when(F.col("level").isNull(), F.col("needs")).alias("needs"), F.when(F.col("level").isNull(), F.col("w")).otherwise(F.col("level") + F.col("w")).alias("w"))
+        told = ws.save(told.groupBy(*key, "needs").agg(F.max("w").alias("w")), "told")
+        per = told.groupBy(*key).agg(F.count("needs").alias("open"), F.max("needs").alias("next"), F.max(F.when(F.col("needs").isNotNull(), F.col("w"))).alias("step"), F.max(F.when(F.col("needs").isNull(), F.col("w"))).alias("floor"))
+        per = ws.save(per, "waits")
+        ready = ws.save(per.where("open = 0").select(*key, F.col("floor").alias("level")), "level")
+        if ready.isEmpty():
             break
-        done = ws.save(done.unionByName(more), "levels")
-    return calls.select("conv", "call_id").join(done, ["conv", "call_id"], "left")
+        done.append(ready)
+        if len(done) > 30:
+            done = [ws.save(functools.reduce(DataFrame.unionByName, done), "levels")]
+        single = per.where("open = 1").select("conv", F.col("call_id").alias("needs"), "next", "step", "floor")
+        left = told.join(ready.select(*key), key, "left_anti").join(single, ["conv", "needs"], "left")
+        on = F.array(F.struct(F.col("next").alias("needs"), more("w", "step").alias("w")), F.struct(F.lit(None).cast("string").alias("needs"), more("w", "floor").alias("w")))
+        went = F.when(F.col("next").isNull(), F.array(F.struct("needs", "w"))).when(F.col("floor").isNull(), F.slice(on, 1, 1)).otherwise(on)
+        after = ws.save(left.select(*key, F.explode(went).alias("e")).select(*key, "e.needs", "e.w").groupBy(*key, "needs").agg(F.max("w").alias("w")), "needs")
+        ws.drop(edges, told, per)
+        edges, new = after, ready
+    return calls.select(*key).join(functools.reduce(DataFrame.unionByName, done), key, "left").withColumn("level", F.col("level").cast("int"))
 
 
 def link_calls(conversations: DataFrame, schemas: dict[str, dict], conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:

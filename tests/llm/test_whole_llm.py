@@ -1,8 +1,10 @@
 """Cases in which the llm operators once did less than the whole job."""
 
+import random
+
 import pytest
 
-from loomgraph.llm import url_filter
+from loomgraph.llm import tool_calls, url_filter
 
 PAGES = "page_id long, url string, html string"
 
@@ -52,3 +54,26 @@ def test_blocks_reach_aliases_by_any_link(spark):
     ]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGES), url_filter.RULES).collect()}
     assert got == {i: "allow" if i == 12 else "block" for i in range(1, 13)}
+
+
+def brute_levels(uses):
+    """Level by call; null in circles and after them. One level a pass."""
+    level = {}
+    while ready := {c: max((level[u] + 1 for u in us if u in uses), default=0) for c, us in uses.items() if c not in level and all(u in level for u in us if u in uses)}:
+        level |= ready
+    return {c: level.get(c) for c in uses}
+
+
+def test_calls_of_any_depth_have_levels(spark, ws):
+    r = random.Random(4)
+    talks = {1: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1500)}}
+    talks[1] |= {"fork": ["c700", "c1499", "gone"], "x": ["y"], "y": ["x", "c3"], "after": ["x", "c9"]}
+    talks[2] = {f"c{i}": [f"c{i - 1}"] * (i > 0) + [f"c{i - 5}"] * (i >= 5 and i % 20 == 0) for i in range(60)}
+    for k in range(3, 11):
+        talks[k] = {f"c{i}": [f"c{r.randrange(40 if r.random() < 0.03 else max(i, 1))}" for _ in range(r.choice([0, 1, 1, 1, 2]))] for i in range(40)}
+        talks[k] = {c: [u for u in us if u != c] for c, us in talks[k].items()}
+    df = ws.save(spark.createDataFrame([(k, c, us) for k, t in talks.items() for c, us in t.items()], "conv long, call_id string, uses array<string>"), "calls")
+    got = tool_calls.order_calls(df, ws)
+    assert got.schema["level"].dataType.simpleString() == "int"
+    want = {(k, c): v for k, t in talks.items() for c, v in brute_levels(t).items()}
+    assert {(x["conv"], x["call_id"]): x["level"] for x in got.collect()} == want and want[1, "fork"] == 1500 and None in want.values()
