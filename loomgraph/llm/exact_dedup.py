@@ -55,10 +55,19 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", normalise: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (ids are taken to be unique).
 
-    Rows with a null id are dropped. The join is on the unique id, so no task is hot.
+    Of rows with a null id one stays per text that no row with an id has: the one with the
+    smallest hash of its columns. The join is on the unique id, so no task is hot.
     """
-    kept = exact_groups(docs, id_col, text_col, keep, normalise).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    groups = exact_groups(docs, id_col, text_col, keep, normalise)
+    kept = groups.where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["__kept_id"], "left_semi")
+    nameless = docs.where(docs[id_col].isNull())
+    if nameless.isEmpty():
+        return named
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = nameless.groupBy(normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__text")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    alone = groups.where(F.col("keep_id").isNull()).select("text_sha256").distinct()
+    return named.unionByName(firsts.join(alone, F.sha2("__text", 256) == F.col("text_sha256"), "left_semi").select("__row.*"))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -384,9 +384,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component."""
+    """The rows of ``docs``, all columns, whose id is the smallest of its component, and those with a null id, which link with nothing."""
     stay = near_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col] == stay["__stay"], "left_semi")
+    return docs.join(stay, docs[id_col] == stay["__stay"], "left_semi").unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

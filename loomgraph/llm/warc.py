@@ -37,13 +37,14 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record_bytes(record_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A response record, or a revisit record that holds the HTTP head alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to else http + payload
     # Header values are single lines; a url is kept as it is but for line breaks and blanks at its ends.
     target = " ".join((url or "").split("\r")).replace("\n", " ").strip()
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    own = f"urn:uuid:{uuid.uuid4()}" if record_id is None else f"urn:page:{record_id}"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{own}>", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -194,7 +195,7 @@ def parse_record(rec: bytes) -> dict:
     h = parse_headers(head)
     block = block[: int(h["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    bare = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else None
+    bare = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x and not x.startswith("<urn:uuid:") else None
     kind = h["warc-type"]
     length = len(payload) if kind == "response" else int(parse_headers(http).get("content-length", "0"))
     digest = sha1_base32(payload) if kind == "response" else h["warc-payload-digest"].removeprefix("sha1:")
@@ -235,23 +236,29 @@ def read_records(archives: DataFrame, columns: list[str] | None = None) -> DataF
 def mark_revisits(pages: DataFrame, ws: Workspace, least_bytes: int = 0) -> DataFrame:
     """pages(id, url, payload) -> with digest and refers_to: of equal payloads the largest id is the response.
 
-    Payloads of fewer than ``least_bytes`` are always responses. Equality is by SHA-256
-    and length. Payloads are shuffled once, by the unique id.
+    Payloads of fewer than ``least_bytes`` are always responses, as are those that only pages with
+    a null id have. Equality is by SHA-256 and length. Payloads are shuffled once, by the unique id.
     """
-    keyed = ws.save(pages.where(F.octet_length("payload") >= least_bytes).where("id IS NOT NULL").select("id", F.unhex(F.sha2("payload", 256)).alias("h"), F.octet_length("payload").alias("n")), "hashes")
-    groups = ws.save(keyed.groupBy("h", "n").agg(F.max("id").alias("keep"), F.count("*").alias("rows")).where("rows > 1"), "groups")
-    again = ws.save(lookup_join(keyed, groups, ["h", "n"], "rows").where("id <> keep").select("id", F.col("keep").cast("string").alias("refers_to")).distinct(), "revisits")
-    return pages.join(again, "id", "left")
+    content = (F.unhex(F.sha2("payload", 256)).alias("h"), F.octet_length("payload").alias("n"))
+    keyed = ws.save(pages.where(F.octet_length("payload") >= least_bytes).select("id", *content), "hashes")
+    groups = ws.save(keyed.groupBy("h", "n").agg(F.max("id").alias("keep"), F.count("*").alias("rows")).where("rows > 1 AND keep IS NOT NULL"), "groups")
+    again = ws.save(lookup_join(keyed.where("id IS NOT NULL"), groups, ["h", "n"], "rows").where("id <> keep").select("id", F.col("keep").cast("string").alias("refers_to")).distinct(), "revisits")
+    named = pages.where("id IS NOT NULL").join(again, "id", "left")
+    if pages.where("id IS NULL").isEmpty():
+        return named
+    nameless = ws.save(pages.where("id IS NULL").withColumn("key", F.expr("uuid()")), "nameless")
+    told = lookup_join(nameless.where(F.octet_length("payload") >= least_bytes).select("key", *content), groups, ["h", "n"], "rows").select("key", F.col("keep").cast("string").alias("refers_to"))
+    return named.unionByName(nameless.join(told, "key", "left").drop("key"))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, roll: int = ROLL_BYTES) -> tuple[DataFrame, Workspace]:
     """Write a WARC record per page, normalise the archives and return (archives, workspace).
 
     Null html is an empty payload; a null url an empty target. Rows with a null id
-    have no record id and are refused. Repeated ids are written again.
+    get a record id of their own, which reads back as null. Repeated ids are written again.
     """
     ws = Workspace(pages.sparkSession, "warc")
-    rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).where("id IS NOT NULL")
+    rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     marked = mark_revisits(rows, ws, least_bytes)
     with_digest = marked.select(F.col("id").cast("string").alias("id"), "url", "payload", "refers_to").mapInPandas(lean(_digests), "id string, url string, payload binary, digest string, refers_to string")
     plain = ws.save(write_archives(with_digest, ws.path("streams"), roll), "written")

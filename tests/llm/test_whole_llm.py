@@ -1,10 +1,11 @@
 """Cases in which the llm operators once did less than the whole job."""
 
 import random
+from collections import Counter
 
 import pytest
 
-from loomgraph.llm import tool_calls, url_filter
+from loomgraph.llm import exact_dedup, jaccard_join, tool_calls, url_filter, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -77,3 +78,23 @@ def test_calls_of_any_depth_have_levels(spark, ws):
     assert got.schema["level"].dataType.simpleString() == "int"
     want = {(k, c): v for k, t in talks.items() for c, v in brute_levels(t).items()}
     assert {(x["conv"], x["call_id"]): x["level"] for x in got.collect()} == want and want[1, "fork"] == 1500 and None in want.values()
+
+
+def test_rows_without_id_stay(spark):
+    rows = [(1, "a", "x"), (2, "a", "x"), (None, "a", "x"), (None, "alone", "y"), (None, "alone", "z"), (None, None, "w"), (None, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = exact_dedup.drop_copies(df)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in got.collect()) == Counter([(1, "a"), (None, "alone"), (None, "")])
+    near = jaccard_join.keep_one(df)
+    assert near.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter((i, t) for i, t, _ in rows if i != 2)
+
+
+def test_pages_without_id_have_records(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (None, "v", "same"), (None, "v", "own"), (None, "w", "own"), (None, None, None)]
+    archives, _ = warc.archive_pages(spark.createDataFrame(rows, PAGES))
+    got = warc.read_records(archives).collect()
+    assert Counter((r["id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in got) == Counter(
+        [("1", "revisit", "2", None), ("2", "response", None, b"same"), (None, "revisit", "2", None), (None, "response", None, b"own"), (None, "response", None, b"own"), (None, "response", None, b"")]
+    )
