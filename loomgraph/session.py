@@ -9,8 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-#: Rows of an Arrow batch on its way to a Python worker.
-ARROW_ROWS = 1000
+#: Bytes of an Arrow batch on its way to a Python worker, about.
+ARROW_BYTES = 4 << 20
 
 
 def local_session(app: str = "loomgraph", cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -38,7 +38,7 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that Python workers can import it."""
     sc = spark.sparkContext
     # Texts can be long: small Arrow batches keep the memory of tasks and Python workers low.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_loomgraph_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
