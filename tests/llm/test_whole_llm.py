@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from loomgraph.llm import exact_dedup, jaccard_join, tool_calls, url_filter, warc
+from loomgraph.llm import exact_dedup, jaccard_join, sieve, tool_calls, url_filter, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -98,3 +98,50 @@ def test_pages_without_id_have_records(spark):
     assert Counter((r["id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in got) == Counter(
         [("1", "revisit", "2", None), ("2", "response", None, b"same"), (None, "revisit", "2", None), (None, "response", None, b"own"), (None, "response", None, b"own"), (None, "response", None, b"")]
     )
+
+
+def words(r, n):
+    return [f"w{r.randrange(5000)}" for _ in range(n)]
+
+
+def test_regions_of_thousands_recurse_and_are_split(spark, monkeypatch):
+    """One passage in all texts: large regions, several rounds, leaves of many blocks."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 2)
+    monkeypatch.setattr(jaccard_join, "PER_BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "PER_SALT", 4)
+    monkeypatch.setattr(jaccard_join, "HELD_ROWS", 40)
+    rounds = []
+    look = jaccard_join.Join.look_at_pivots
+    monkeypatch.setattr(jaccard_join.Join, "look_at_pivots", lambda self, *a: (rounds.append(1), look(self, *a))[1])
+    r = random.Random(8)
+    passage = words(r, 60)
+    rows = [(k, " ".join(passage + words(r, r.choice([2, 3, 4, 5, 8, 12])))) for k in range(1200)]
+    half = words(r, 40)
+    for k in range(1200, 1500):  # ever fewer words of one text
+        half = [w if r.random() > 0.01 else f"x{k}" for w in half]
+        rows.append((k, " ".join(half)))
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    at = {i: i for i in sets}
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for lo, hi in ((0, 1200), (1200, 1500)):
+        for a in range(lo, hi):
+            for b in range(lo, a):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and (p := root(a)) != (q := root(b)):
+                    at[max(p, q)] = min(p, q)
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: root(i) for i in sets}
+    assert len(rounds) >= 2
+
+
+def test_the_sieve_lets_all_its_ids_pass(spark):
+    ids = spark.range(-500, 100_000, 7).unionByName(spark.range(1 << 40, (1 << 40) + 50))
+    held = sieve.sieve(ids)
+    assert ids.where(sieve.passes(spark, held, "id")).count() == ids.count()
+    assert spark.range(1 << 50, (1 << 50) + 20_000).where(sieve.passes(spark, held, "id")).count() < 20
+    assert not sieve.sieve(ids.limit(0)).any()
