@@ -3,8 +3,8 @@
 The ids of a word depend on its prefixes: if t is the last token of BPE(s), the
 tokens before it are BPE of what precedes t.  So one token per prefix, its last
 one, holds the whole encoding.  Distinct words go into a trie; a depth-first walk
-finds each node's last token once, from the states of the nodes above it, and all
-words below share it.  A token may follow another when BPE of the two together
+finds each node's last token once, from those of the nodes above it, and all
+words below share it; a word's ids are read off by walking back from its end.  A token may follow another when BPE of the two together
 gives just these two; that test is kept by pair.
 
 Words come from the tokenizer file's own rules.  Text of Latin letters (up to
@@ -36,6 +36,8 @@ from loomgraph.llm.worker import lean
 #: Words kept with their ids in a worker, and words remembered as met once.
 CACHED_WORDS = 250_000
 CACHED_PAIRS = 250_000
+#: Longer words (in bytes) share no trie and are not kept, so that memory is linear in a word's length.
+LONG_WORD = 256
 END = "</w>"
 #: Any character that the compiled pattern does not cover, or whose lower case it does not.
 _FAR = re.compile("[^\u0000-\u012f\u0131-ſ]")
@@ -134,6 +136,8 @@ class WordEncoder:
             ids[at] = new[word]
         once = self.once
         for w, n in fresh.items():
+            if len(new[w]) > 4 * LONG_WORD or len(w) > LONG_WORD:
+                continue
             if n > 1 or w in once:
                 known[w] = new[w]
             else:
@@ -229,32 +233,50 @@ class TrieEncoder(WordEncoder):
 
     # -- the trie
 
-    def _last_token(self, text: str, states: list[tuple[str, bytes]], suffix: str = "") -> tuple[str, bytes]:
-        """(last token, all ids) of ``text``; states[d] is that of its first d characters."""
-        n = len(text)
-        id_of, pairs = self.vocab.get, self.pairs.get
-        for at in range(max(0, n - self.reach.get(text[-2:] + suffix, 1)), n):
-            token = text[at:] + suffix
-            i = id_of(token)
-            if i is None:
+    def _last_token(self, text: str, n: int, lasts: list[str], suffix: str = "") -> tuple[str, int]:
+        """The last token of the first ``n`` characters of ``text`` and where it begins; lasts[d] is that of the first d."""
+        vocab, pairs = self.vocab, self.pairs.get
+        for at in range(max(0, n - self.reach.get(text[max(0, n - 2) : n] + suffix, 1)), n):
+            token = text[at:n] + suffix
+            if token not in vocab:
                 continue
-            left, ids = states[at]
             if at:
-                ok = pairs((left, token))
+                ok = pairs((lasts[at], token))
                 if ok is None:
-                    ok = self._may_follow(left, token)
+                    ok = self._may_follow(lasts[at], token)
             else:
                 ok = self._sides(token) is not None
             if ok:
-                return token, ids + i.to_bytes(4, "little")
-        raise ValueError(f"no token ends {text!r}")
+                return token, at
+        raise ValueError(f"no token ends {text[max(0, n - 50) : n]!r}")
+
+    def _walk_back(self, token: str, at: int, lasts: list[str], starts: list[int]) -> bytes:
+        """Ids of a word from its last token: every prefix keeps no more than its last one and where that begins."""
+        ids = [self.vocab[token]]
+        while at:
+            ids.append(self.vocab[lasts[at]])
+            at = starts[at]
+        return np.array(ids[::-1], dtype="<u4").tobytes()
+
+    def _encode_long(self, chars: str) -> bytes:
+        """A word on a path of its own."""
+        lasts, starts = [""], [0]
+        for n in range(1, len(chars)):
+            token, at = self._last_token(chars, n, lasts)
+            lasts.append(token)
+            starts.append(at)
+        return self._walk_back(*self._last_token(chars, len(chars), lasts, END), lasts, starts)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words, as little-endian unsigned 32-bit integers."""
         byte_char = self.byte_char
         root: dict = {}
+        out: dict[str, bytes] = {}
         for word in words:
             chars = word if word.isascii() and word.isprintable() else "".join([byte_char[b] for b in word.encode()])
+            if len(chars) > LONG_WORD:
+                out[word] = self._encode_long(chars)
+                continue
             node = root
             for c in chars[:-1]:
                 below = node.get(c)
@@ -265,21 +287,23 @@ class TrieEncoder(WordEncoder):
                 node[""].append((chars[-1], word))
             else:
                 node[""] = [(chars[-1], word)]
-        out: dict[str, bytes] = {}
-        states: list[tuple[str, bytes]] = [("", b"")]
+        lasts, starts = [""], [0]
         stack = [(root, "")]
-        last_token = self._last_token
+        last_token, walk_back = self._last_token, self._walk_back
         while stack:
             node, text = stack.pop()
-            if text:
-                del states[len(text) :]
-                states.append(last_token(text, states))
+            n = len(text)
+            if n:
+                del lasts[n:], starts[n:]
+                token, at = last_token(text, n, lasts)
+                lasts.append(token)
+                starts.append(at)
             for c, below in node.items():
                 if c:
                     stack.append((below, text + c))
                 else:
                     for last, word in below:
-                        out[word] = last_token(text + last, states, END)[1]
+                        out[word] = walk_back(*last_token(text + last, n + 1, lasts, END), lasts, starts)
         return out
 
 
@@ -307,7 +331,11 @@ def text_slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[pa
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary): ids as little-endian unsigned 32-bit integers. Null text: empty."""
+    """(id, ids binary): ids as little-endian unsigned 32-bit integers.
+
+    Null text is empty. A text is encoded whole, in memory that grows with its length as a line does. Null and
+    repeated ids pass through, a row each; other columns are ignored; empty tables give no rows.
+    """
     kept = pick(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 
 from loomgraph.llm.columns import pick
 from loomgraph.llm.worker import lean
+from loomgraph.operators.workspace import Workspace
 
 #: Row length of stored payloads, rows of one frame and hundredths of a second it shows.
 WIDTH, ROWS, DELAY = 576, 16, 4
@@ -315,7 +316,11 @@ def frame_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each text's UTF-8, filled with bytes 255 up to a positive multiple of WIDTH, as a GIF."""
+    """(id, n_bytes, media): each text's UTF-8, filled with bytes 255 up to a positive multiple of WIDTH, as a GIF.
+
+    Null text is empty: one row of 255s. A long text is many frames of one GIF, held whole. Null and repeated ids
+    pass through, a row each; other columns are ignored; empty tables give no rows.
+    """
     kept = pick(docs, id=id_col, text=text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,7 +342,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def stored_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read ``store_texts`` media back: digests of samples and media, and a feature of all frames' histograms."""
+    """Read ``store_texts`` media back: digests of samples and media, and a feature of all frames' histograms. A row for each row."""
     kept = pick(stored, id=id_col, n_bytes="n_bytes", media="media")
 
     def digest(data: bytes) -> tuple:
@@ -367,4 +372,5 @@ def stored_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op3_gif(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return stored_digests(store_texts(docs))
+    stored = Workspace(spark, "gif").save(store_texts(docs), "media")
+    return stored_digests(stored)

@@ -157,22 +157,23 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
     return kept.mapInArrow(lean(run), f"id {kept.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, keys: tuple[str, ...] = ("id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, key: str = "row") -> DataFrame:
     """Add sequence_id and offset to ``pieces``, a stored table with a column length of 1 to capacity.
 
-    The driver sees counts by length alone. Repeated rows are packed one by one.
+    ``key`` is unique and stored, so that neither ties nor repeated or null ids crowd a task; it is
+    dropped. The driver sees counts by length alone. Repeated rows are packed one by one. Empty table: no rows.
     """
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     if not counts:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return pieces.drop(key).select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     runs = plan_table(plan_patterns(counts, capacity))
     buckets = max(LEAST_BUCKETS, sum(counts.values()) // PER_BUCKET)
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    inside = Window.partitionBy("length", "__bucket").orderBy(*keys)
+    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    inside = Window.partitionBy("length", "__bucket").orderBy(key)
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     ranked = dealt.withColumn("__row", F.row_number().over(inside)).join(offsets.hint("merge"), ["length", "__bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__row") - 1).alias("__rank"))
+    ranked = ranked.select(*(c for c in pieces.columns if c != key), (F.col("__before") + F.col("__row") - 1).alias("__rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,7 +187,7 @@ def pack(pieces: DataFrame, ws: Workspace, capacity: int = CAPACITY, keys: tuple
                     sequence[chunk], offset[chunk] = seq[k] + ranks[chunk] - first[k], off[k]
             yield b.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != key)
     return ranked.mapInPandas(lean(place), f"{kinds}, sequence_id long, offset long")
 
 
@@ -194,10 +195,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty and still takes a separator's place. Null or repeated ids are
-    packed like any other row. Empty table: no rows.
+    packed like any other row; a text longer than ``capacity`` is cut into pieces that are packed apart.
+    Other columns are ignored. Empty table: no rows.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    pieces = ws.save(cut_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces")
+    pieces = ws.save(cut_pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, ws, capacity).withColumnRenamed("id", id_col)
 
 

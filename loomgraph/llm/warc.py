@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import pick
+from loomgraph.llm.sieve import passes, sieve
 from loomgraph.llm.storage import open_fs
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
@@ -66,17 +67,20 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 
 def inflate(source, size: int = READ_BYTES) -> Iterator[bytes]:
-    """Pieces of a gzip stream, whether it has one member or many."""
-    d = zlib.decompressobj(31)
+    """Pieces of at most ``size`` bytes of a gzip stream, whether it has one member or many. A member cut off raises."""
+    d, begun = zlib.decompressobj(31), False
     while data := source.read(size):
         while data:
-            if piece := d.decompress(data):
+            begun = True
+            if piece := d.decompress(data, size):
                 yield piece
-            data = d.unused_data
+            data = d.unconsumed_tail
             if d.eof:
-                d = zlib.decompressobj(31)
-    if rest := d.flush():
-        yield rest
+                data, d, begun = d.unused_data, zlib.decompressobj(31), False
+    while begun and not d.eof and (piece := d.decompress(b"", size)):
+        yield piece
+    if begun and not d.eof:
+        raise ValueError("a gzip stream is cut off")
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,11 +130,12 @@ def _writer(folder: str, roll: int, level: int):
         size = n = 0
         made = []
         for b in batches:
-            for rid, url, html, digest, refers in zip(b["id"], b["url"], b["payload"], b["digest"], b["refers_to"], strict=True):
+            for rid, url, html, refers in zip(b["id"], b["url"], b["payload"], b["refers_to"], strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, gz, size, n = filesystem.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
-                rec = record_bytes(rid, url, bytes(html), digest, refers)
+                payload = bytes(html)
+                rec = record_bytes(rid, url, payload, sha1_base32(payload), refers)
                 out.write(gz.compress(rec))
                 size, n = size + len(rec), n + 1
                 if size >= roll:
@@ -149,11 +154,11 @@ def _writer(folder: str, roll: int, level: int):
 
 
 def write_archives(records: DataFrame, folder: str, roll: int = ROLL_BYTES, level: int = 1) -> DataFrame:
-    """records(id string, url, payload binary, digest, refers_to string) -> (archive, records, bytes).
+    """records(id string, url, payload binary, refers_to string) -> (archive, records, bytes).
 
     Every partition writes archives of about ``roll`` bytes, each one gzip stream.
     """
-    return records.select("id", "url", "payload", "digest", "refers_to").mapInPandas(lean(_writer(folder, roll, level)), "archive string, records long, bytes long")
+    return records.select("id", "url", "payload", "refers_to").mapInPandas(lean(_writer(folder, roll, level)), "archive string, records long, bytes long")
 
 
 def _normaliser(folder: str, level: int):
@@ -234,44 +239,42 @@ def read_records(archives: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def mark_revisits(pages: DataFrame, ws: Workspace, least_bytes: int = 0) -> DataFrame:
-    """pages(id, url, payload) -> with digest and refers_to: of equal payloads the largest id is the response.
+    """pages(id, url, payload) -> with refers_to: of equal payloads the largest id is the response.
 
     Payloads of fewer than ``least_bytes`` are always responses, as are those that only pages with
-    a null id have. Equality is by SHA-256 and length. Payloads are shuffled once, by the unique id.
+    a null id have. A row is told by its payload and own id alone, so repeated and null ids
+    need no care. Equality is by SHA-256 and length. Payloads that no other page has pass by the sieve and
+    are not shuffled; the others meet their group's row, those of hot groups by a bounded broadcast.
     """
-    content = (F.unhex(F.sha2("payload", 256)).alias("h"), F.octet_length("payload").alias("n"))
-    keyed = ws.save(pages.where(F.octet_length("payload") >= least_bytes).select("id", *content), "hashes")
-    groups = ws.save(keyed.groupBy("h", "n").agg(F.max("id").alias("keep"), F.count("*").alias("rows")).where("rows > 1 AND keep IS NOT NULL"), "groups")
-    again = ws.save(lookup_join(keyed.where("id IS NOT NULL"), groups, ["h", "n"], "rows").where("id <> keep").select("id", F.col("keep").cast("string").alias("refers_to")).distinct(), "revisits")
-    named = pages.where("id IS NOT NULL").join(again, "id", "left")
-    if pages.where("id IS NULL").isEmpty():
-        return named
-    nameless = ws.save(pages.where("id IS NULL").withColumn("key", F.expr("uuid()")), "nameless")
-    told = lookup_join(nameless.where(F.octet_length("payload") >= least_bytes).select("key", *content), groups, ["h", "n"], "rows").select("key", F.col("keep").cast("string").alias("refers_to"))
-    return named.unionByName(nameless.join(told, "key", "left").drop("key"))
+    spark = pages.sparkSession
+    content = {"n": F.octet_length("payload"), "h": F.unhex(F.sha2("payload", 256)), "k": F.xxhash64("payload")}
+    long_enough = F.col("n") >= least_bytes
+    keyed = pages.withColumns(content).where(long_enough).select("id", "h", "n", "k")
+    groups = ws.save(keyed.groupBy("h", "n", "k").agg(F.max("id").alias("keep"), F.count("*").alias("rows")), "groups")
+    maybe = passes(spark, sieve(groups.where("rows > 1 AND keep IS NOT NULL").select(F.col("k").alias("id"))), "k")
+    rows = pages.withColumns(content).withColumn("maybe", maybe & long_enough)
+    once = rows.where("NOT maybe").select("id", "url", "payload", F.lit(None).cast("string").alias("refers_to"))
+    met = lookup_join(rows.where("maybe").drop("k"), groups.where(maybe).select("h", "n", "keep", "rows"), ["h", "n"], "rows")
+    again = (F.col("rows") > 1) & (F.col("id").isNull() | (F.col("id") != F.col("keep")))
+    return once.unionByName(met.select("id", "url", "payload", F.when(again, F.col("keep").cast("string")).alias("refers_to")))
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, roll: int = ROLL_BYTES) -> tuple[DataFrame, Workspace]:
     """Write a WARC record per page, normalise the archives and return (archives, workspace).
 
     Null html is an empty payload; a null url an empty target. Rows with a null id
-    get a record id of their own, which reads back as null. Repeated ids are written again.
+    get a record id of their own, which reads back as null. Every row has a record, also where ids or
+    rows repeat; repeated rows of a response are all responses. A payload of any length is
+    one record, held whole. Empty table: no archives. Other columns are ignored.
     """
     ws = Workspace(pages.sparkSession, "warc")
     rows = pick(pages, id=id_col, url=url_col, html=html_col).select("id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     marked = mark_revisits(rows, ws, least_bytes)
-    with_digest = marked.select(F.col("id").cast("string").alias("id"), "url", "payload", "refers_to").mapInPandas(lean(_digests), "id string, url string, payload binary, digest string, refers_to string")
-    plain = ws.save(write_archives(with_digest, ws.path("streams"), roll), "written")
+    plain = ws.save(write_archives(marked.withColumn("id", F.col("id").cast("string")), ws.path("streams"), roll), "written")
     members = ws.save(normalise_archives(plain.repartition(max(1, plain.count())), ws.path("members")), "normalised")
     return members, ws
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["digest"] = [sha1_base32(bytes(p)) for p in b["payload"]]
-        yield b[["id", "url", "payload", "digest", "refers_to"]]
-
-
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives, _ = archive_pages(pages)
