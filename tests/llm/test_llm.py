@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from conftest import SF
 from oracle import duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -235,16 +236,49 @@ def test_tool_calls(spark):
 
 
 def test_quality(spark):
-    got = quality.score_documents(docs(spark, ODD), quality.fit([(prose(80), 1) for _ in range(30)] + [("BUY!! " * 50, 0)] * 30)).collect()
+    model = quality.fit([(prose(80), 1) for _ in range(30)] + [("BUY!! " * 50, 0)] * 30)
+    got = quality.score_documents(docs(spark, ODD), model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
-    assert {r["score"] for r in got if r["doc_id"] in (1, 2)} == {0.0}
-    assert quality.fit([]).score(np.zeros((1, 7)))[0] == 0.0
+    assert {(r["score"], r["difference"]) for r in got if r["doc_id"] in (1, 2)} == {(0.0, None)}
+    assert quality.fit([]).score(np.array([0.3]))[0] == 0.5
+    assert quality.score_documents(docs(spark, []), model).count() == 0
+
+
+def plain_difference(model, text):
+    """The lower quartile of the blocks' size differences, a fresh compressor for each block."""
+    data, out = text.encode(), []
+    cuts = list(range(0, len(data), 64))
+    if len(cuts) > 1 and len(data) - cuts[-1] < 16:
+        cuts.pop()
+    for at, end in zip(cuts, [*cuts[1:], len(data)]):
+        size = [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[at:end])) for d in (model.good, model.bad)]
+        out.append((size[1] - size[0]) / (size[1] + size[0]))
+    out.sort()
+    at = 0.25 * (len(out) - 1)
+    low = out[int(at)]
+    return low + (at - int(at)) * (out[min(int(at) + 1, len(out) - 1)] - low)
+
+
+def test_scores_are_the_calibrated_difference(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.slope > 0
+    text = {r["doc_id"]: r["text"] for r in d.limit(60).collect()}
+    for r in quality.score_documents(d.limit(60), model).collect():
+        want = plain_difference(model, text[r["doc_id"]])
+        # A prepared dictionary may choose other matches than one that is loaded for a block.
+        assert r["difference"] == pytest.approx(want, abs=0.03)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * r["difference"] + model.shift))), abs=1e-9)
 
 
 def test_quality_on_held_out(spark):
-    sf = SF.replace("0.001", "0.01")
+    sf = SF.replace("0.001", "0.1")
     scored = quality.op6_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality IS NOT NULL").collect()
-    assert np.mean([r["predicted"] == r["quality"] for r in scored]) > 0.9
+    y, p = np.array([r["quality"] for r in scored]), np.array([r["score"] for r in scored])
+    assert np.mean([r["predicted"] == r["quality"] for r in scored]) > 0.96
+    # Calibration: mean score and share of good ones in ten equal groups by score.
+    order = np.array_split(np.argsort(p, kind="stable"), 10)
+    assert sum(len(g) * abs(p[g].mean() - y[g].mean()) for g in order) / len(p) < 0.03
 
 
 def test_held_out_rule(spark):
