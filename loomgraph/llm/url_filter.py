@@ -24,7 +24,7 @@ from loomgraph.operators.components import connected_components
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
 
-#: Rules are compiled into one expression; a larger set should be a table.
+#: So many rules are compiled into one expression; more are a table that urls are joined with.
 MOST_RULES = 1000
 
 
@@ -55,8 +55,6 @@ def url_path(url: Column) -> Column:
 
 def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """The longest fitting rule's text and verdict, else nulls. Of equal rules allow wins."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules, not {len(rules)}")
     text = verdict = None
     for r in sorted(rules, key=lambda r: (-len(r.text), r.verdict, r.text)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -66,6 +64,34 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
     return (none, none) if text is None else (text, verdict)
 
 
+def with_rules(urls: DataFrame, rules: list[Rule], ws: Workspace) -> DataFrame:
+    """``urls`` (any columns, among them host and path) with rule and said: the longest fitting rule's text and verdict, else nulls.
+
+    Any number of rules: few are an expression; of more, every distinct host and path asks a
+    table for each suffix of its host and each start of its path that has a rule's length.
+    """
+    if len(rules) <= MOST_RULES:
+        text, verdict = match_rule(F.col("host"), F.col("path"), rules)
+        return urls.withColumns({"rule": text, "said": verdict})
+    spark = urls.sparkSession
+    best = sorted({(r.host, r.path): r.verdict for r in sorted(rules, key=lambda r: r.verdict, reverse=True)}.items())
+    known = ws.save(spark.createDataFrame([(h, p, v) for (h, p), v in best], "rhost string, rpath string, said string"), "rules")
+    sizes = F.array(*(F.lit(n) for n in sorted({len(p) for (_, p), _ in best})))
+    stored = ws.save(urls, "urls")
+    each = stored.groupBy("host", "path").agg(F.count("*").alias("rows"))
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", "[.]"))), lambda i: F.substring_index("host", ".", -i))).alias("rhost")
+    keys = each.select("host", "path", suffix).distinct()
+    keys = keys.select("host", "path", "rhost", F.explode(F.filter(sizes, lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "rhost", F.left("path", F.col("n")).alias("rpath"))
+    keys = ws.save(keys, "asks")
+    asked = ws.save(keys.groupBy("rhost", "rpath").agg(F.count("*").alias("asks")).join(known.hint("merge"), ["rhost", "rpath"]), "asked")
+    met = lookup_join(keys, asked, ["rhost", "rpath"], "asks").withColumn("rule", F.concat("rhost", "rpath"))
+    # Of equally long rules the one that match_rule would meet first: allow, then the text.
+    order = F.struct(-F.length("rule"), "said", "rule")
+    told = met.groupBy("host", "path").agg(F.min(F.struct(order.alias("o"), "rule", "said")).alias("r")).select("host", "path", "r.rule", "r.said")
+    told = ws.save(each.join(told.hint("merge"), ["host", "path"], "left"), "told")
+    return lookup_join(stored, told, ["host", "path"], "rows").select(*urls.columns, "rule", "said")
+
+
 def url_node(url: Column) -> Column:
     """A url without fragment, its scheme and host in lower case: what aliases are about."""
     bare = F.regexp_extract(url, r"^([^#]*)", 1)
@@ -168,8 +194,7 @@ def judge_urls(
         more = pick(redirects, src="src", dst="dst").select(url_node(F.col("src")).alias("a"), url_node(F.col("dst")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    text, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.withColumns({"host": host, "path": path}).withColumns({"rule": text, "said": verdict})
+    judged = with_rules(rows.withColumns({"host": host, "path": path}), rules, ws)
     final = judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"))
     if edges is None:
         return final
@@ -179,7 +204,7 @@ def judge_urls(
     comp = ws.save(connected_components(edges, ws), "components")
     # Every url of a component has its say once, whether a page has it or only an edge.
     node_host, node_path = url_host(F.col("node")), url_path(F.col("node"))
-    said = comp.withColumns({"host": node_host, "path": node_path}).withColumn("said", match_rule(F.col("host"), F.col("path"), rules)[1])
+    said = with_rules(comp.withColumns({"host": node_host, "path": node_path}), rules, ws)
     whole = said.groupBy("component").agg(
         F.when(F.max(F.expr("said = 'allow'")), "allow").when(F.max(F.expr("said = 'block'")), "block").otherwise(default).alias("alias_verdict"), F.count("*").alias("n")
     )

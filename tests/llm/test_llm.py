@@ -400,6 +400,25 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, []), license_scan.TEMPLATES).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(docs(spark, rows), {"x": "too short"})
+    assert license_scan.scan(docs(spark, rows), {}).count() == 0
+
+
+def test_whole_license_texts(spark, monkeypatch):
+    texts = license_scan.license_texts()
+    assert len(texts) >= 13 and min(len(license_scan.plain_words(t)) for t in texts.values()) > 100
+    r = random.Random(3)
+    rows = []
+    for k, (_, t) in enumerate(sorted(texts.items())):
+        w = t.split()
+        worn = [x if r.random() > 0.015 else "changed" for x in w]  # holds over 0.9 of the shingles
+        rows.append((k, prose(r.randint(0, 300)) + " " + " ".join(worn) + " " + prose(50)))
+    rows += [(100, " ".join(texts["apache-2.0-text"].split()[:600])), (101, prose(3000))]
+    got = license_scan.scan(docs(spark, rows), texts).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == {(k, n) for k, n in enumerate(sorted(texts))}
+    want = Counter(map(tuple, got))
+    monkeypatch.setattr(license_scan.slices, "__defaults__", (70,))
+    assert len(license_scan.slices(texts)) > 3
+    assert Counter(map(tuple, license_scan.scan(docs(spark, rows), texts).collect())) == want
 
 
 def test_bands_keep_their_promise():
