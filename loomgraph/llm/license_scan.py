@@ -29,7 +29,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.columns import ascii_lower, pick
+from loomgraph.llm.columns import ascii_lower, held, pick
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -96,11 +96,6 @@ def signature(hashes: str, bands: str) -> str:
     return f"transform(sequence(0, {bands} - 1), j -> array_min(transform({hashes}, x -> xxhash64(x, j))))"
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` and a column that is computed once per row: as a generator's output the optimizer can't repeat it inside lambdas."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """license, length, bands, hashes, texts (its shingles), sig. Templates of fewer than 5 words are refused."""
     rows = []

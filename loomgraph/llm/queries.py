@@ -21,5 +21,6 @@ ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
     "op5_tool_calls": tool_calls.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
 }

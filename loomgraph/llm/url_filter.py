@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.columns import ascii_lower, pick
+from loomgraph.llm.columns import ascii_lower, held, pick
 from loomgraph.llm.worker import lean
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
 
 #: So many rules are compiled into one expression; more are a table that urls are joined with.
-MOST_RULES = 1000
+MOST_RULES = 32
 
 
 @dataclass(frozen=True)
@@ -53,15 +53,13 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(after_scheme(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
-def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """The longest fitting rule's text and verdict, else nulls. Of equal rules allow wins."""
-    text = verdict = None
-    for r in sorted(rules, key=lambda r: (-len(r.text), r.verdict, r.text)):
+def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
+    """The longest fitting rule as a struct of its text and verdict, else null. Of equal rules allow wins."""
+    out = F.lit(None).cast("struct<rule: string, said: string>")
+    for r in sorted(rules, key=lambda r: (-len(r.text), r.verdict, r.text), reverse=True):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        text = F.when(fits, r.text) if text is None else text.when(fits, r.text)
-        verdict = F.when(fits, r.verdict) if verdict is None else verdict.when(fits, r.verdict)
-    none = F.lit(None).cast("string")
-    return (none, none) if text is None else (text, verdict)
+        out = F.when(fits, F.struct(F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("said"))).otherwise(out)
+    return out
 
 
 def with_rules(urls: DataFrame, rules: list[Rule], ws: Workspace) -> DataFrame:
@@ -71,15 +69,14 @@ def with_rules(urls: DataFrame, rules: list[Rule], ws: Workspace) -> DataFrame:
     table for each suffix of its host and each start of its path that has a rule's length.
     """
     if len(rules) <= MOST_RULES:
-        text, verdict = match_rule(F.col("host"), F.col("path"), rules)
-        return urls.withColumns({"rule": text, "said": verdict})
+        return held(urls, "__rule", match_rule(F.col("host"), F.col("path"), rules)).select(*urls.columns, "__rule.rule", "__rule.said")
     spark = urls.sparkSession
     best = sorted({(r.host, r.path): r.verdict for r in sorted(rules, key=lambda r: r.verdict, reverse=True)}.items())
     known = ws.save(spark.createDataFrame([(h, p, v) for (h, p), v in best], "rhost string, rpath string, said string"), "rules")
     sizes = F.array(*(F.lit(n) for n in sorted({len(p) for (_, p), _ in best})))
     stored = ws.save(urls, "urls")
     each = stored.groupBy("host", "path").agg(F.count("*").alias("rows"))
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", "[.]"))), lambda i: F.substring_index("host", ".", -i))).alias("rhost")
+    suffix = F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")).alias("rhost")
     keys = each.select("host", "path", suffix).distinct()
     keys = keys.select("host", "path", "rhost", F.explode(F.filter(sizes, lambda n: n <= F.length("path"))).alias("n")).select("host", "path", "rhost", F.left("path", F.col("n")).alias("rpath"))
     keys = ws.save(keys, "asks")
@@ -194,7 +191,7 @@ def judge_urls(
         more = pick(redirects, src="src", dst="dst").select(url_node(F.col("src")).alias("a"), url_node(F.col("dst")).alias("b"))
         edges = more if edges is None else edges.unionByName(more)
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    judged = with_rules(rows.withColumns({"host": host, "path": path}), rules, ws)
+    judged = with_rules(held(rows, "u", F.struct(host.alias("host"), path.alias("path"))).select("id", "url", "u.host", "u.path"), rules, ws)
     final = judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"))
     if edges is None:
         return final
@@ -204,7 +201,7 @@ def judge_urls(
     comp = ws.save(connected_components(edges, ws), "components")
     # Every url of a component has its say once, whether a page has it or only an edge.
     node_host, node_path = url_host(F.col("node")), url_path(F.col("node"))
-    said = with_rules(comp.withColumns({"host": node_host, "path": node_path}), rules, ws)
+    said = with_rules(held(comp, "u", F.struct(node_host.alias("host"), node_path.alias("path"))).select("node", "component", "u.host", "u.path"), rules, ws)
     whole = said.groupBy("component").agg(
         F.when(F.max(F.expr("said = 'allow'")), "allow").when(F.max(F.expr("said = 'block'")), "block").otherwise(default).alias("alias_verdict"), F.count("*").alias("n")
     )
