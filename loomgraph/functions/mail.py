@@ -73,6 +73,14 @@ def parse_mail(raw: DataFrame, file: str = "file", message: str = "message") ->
     )
 
 
+def header_projection(raw: DataFrame, file: str = "file", message: str = "message") -> DataFrame:
+    """Headers and body of every row as they stand; a row without a message has an error instead."""
+    names = {"from": "From", "to": "To", "cc": "Cc", "bcc": "Bcc", "subject": "Subject", "date": "Date", "x_from": "X-From", "x_to": "X-To", "x_folder": "X-Folder", "x_origin": "X-Origin"}
+    m = split_message(raw, message)
+    there = F.col(message).isNotNull()
+    return m.select(F.col(file).alias("file"), *(F.when(there, header(h)).alias(k) for k, h in names.items()), F.when(there, F.col("body")).alias("body"), F.when(~there, F.lit("no message")).alias("error"))
+
+
 def prompt(a: DataFrame) -> Column:
     """The text an extractor gets: at most 10 recipients, 5 copies and 2000 characters of body."""
     return F.concat(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+
+from loomgraph.schema import FUZZY
 
 #: Longest name whose subsequence state fits a long without overflow.
 NATIVE_LENGTH = 61
@@ -59,20 +60,21 @@ def lcs_plain(x: str, y: str) -> int:
     return row[-1]
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """As ``lcs_native``; the few names of more than NATIVE_LENGTH characters go through Arrow."""
+def similar(x: Column, y: Column, threshold: float = FUZZY) -> Column:
+    """Indel similarity of two token-sorted names of at most NATIVE_LENGTH characters of at least ``threshold``; a bounded Levenshtein goes first."""
+    slack = round((1 - threshold) * 1000)
+    total = F.length(x) + F.length(y)
+    most = F.floor(total * slack / 1000).cast("int")
+    close = F.call_function("levenshtein", x, y, most) >= 0
+    return close & (1000 * (total - 2 * lcs_native(x, y)) <= slack * total)
 
-    @F.pandas_udf(LongType())
-    def long_names(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else lcs_plain(p, q) for p, q in zip(x, y, strict=True)], dtype="Int64")
 
-    long = F.length(a) > NATIVE_LENGTH
-    return F.when(long, long_names(F.when(long, a), F.when(long, b))).otherwise(lcs_native(F.when(~long, a).otherwise(F.lit("")), b))
+def similar_long(x: Column, y: Column, threshold: float = FUZZY) -> Column:
+    """As ``similar`` for names of any length, in Arrow batches."""
+    slack = round((1 - threshold) * 1000)
 
+    @F.pandas_udf("boolean")
+    def long_names(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([1000 * (len(p) + len(q) - 2 * lcs_plain(p, q)) <= slack * (len(p) + len(q)) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-def similar(a: Column, b: Column, native_only: bool = False) -> Column:
-    """Token-sorted Indel similarity of at least 0.90: 10 * (|a| + |b| - 2 LCS) <= |a| + |b|. A bounded Levenshtein goes first."""
-    x, y = sorted_tokens(a), sorted_tokens(b)
-    total = F.length(x) + F.length(y)
-    found = lcs_native(x, y) if native_only else lcs(x, y)
-    return (F.expr("1=1") & (F.levenshtein(x, y) <= F.floor(total / 10))) & (10 * (total - 2 * found) <= total)
+    return long_names(x, y)

@@ -73,11 +73,18 @@ def rule_extractor(prompt: str) -> str:
     return json.dumps({"entities": found, "claims": claims})
 
 
-def extract(prompts: DataFrame, extractor: Extractor = rule_extractor, key: str = "id", retries: int = 3, wait: Callable[[int], float] = lambda n: 2.0**n) -> DataFrame:
+def wait_for(error: str, attempt: int) -> float:
+    """Seconds before the next attempt: five for a lost connection, ever ten more for a rate limit, else doubling."""
+    return 5.0 if error == "connection" else 10.0 * (attempt + 1) if error == "rate limit" else 2.0**attempt
+
+
+def extract(prompts: DataFrame, extractor: Extractor = rule_extractor, key: str = "id", retries: int = 3, wait: Callable[[str, int], float] | None = None, workers: int | None = None) -> DataFrame:
     """(key, raw, attempts, error): the first answer that is a JSON object with something in it, or the last.
 
-    Failures, no JSON, and empty answers to bodies of more than 100 characters are tried again.
+    Failures, no JSON, and empty answers to bodies of more than 100 characters are tried again, after a wait
+    by kind and attempt. ``workers``: so many extractors at once.
     """
+    wait = wait or wait_for
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,13 +99,14 @@ def extract(prompts: DataFrame, extractor: Extractor = rule_extractor, key: str
                             break
                         error = "empty"
                     except Exception as e:  # any extractor may fail in its own way
-                        error = type(e).__name__
+                        error = "rate limit" if re.search("rate.?limit|429", str(e), re.I) else "connection" if isinstance(e, ConnectionError) else type(e).__name__
                     if n < retries:
-                        time.sleep(wait(n))
+                        time.sleep(wait(error, n))
                 rows.append((k, raw, n + 1, error))
             yield pd.DataFrame(rows, columns=["key", "raw", "attempts", "error"])
 
-    return prompts.select(F.col(key).alias("key"), "prompt").mapInPandas(run, "key string, raw string, attempts int, error string").withColumnRenamed("key", key)
+    some = prompts.select(F.col(key).alias("key"), "prompt")
+    return (some if workers is None else some.repartition(workers)).mapInPandas(run, "key string, raw string, attempts int, error string").withColumnRenamed("key", key)
 
 
 def run_stats(results: DataFrame, entities: DataFrame, claims: DataFrame, key: str = "id") -> DataFrame:

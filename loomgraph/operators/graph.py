@@ -61,6 +61,28 @@ def type_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
+def full_stats(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
+    """One row of six keys: total_nodes, total_relationships, node_types, rel_types, top_connected, isolated_nodes.
+
+    Lists are short: a row per type, and ``top`` nodes.
+    """
+    listed = lambda df, *cols: F.transform(F.array_sort(F.collect_list(F.struct(*cols))), lambda x: x["r"])
+    kinds = lambda df, c, name: type_counts(df, c).agg(F.map_from_entries(listed(df, (-F.col("n")).alias("o"), F.col(c).alias("t"), F.struct(F.col(c).alias("type"), "n").alias("r"))).alias(name))
+    best = top_degree(nodes, edges, top).agg(listed(nodes, (-F.col("degree")).alias("o"), "id", F.struct("name", "type", "degree").alias("r")).alias("top_connected"))
+    out = nodes.agg(F.count("*").alias("total_nodes"))
+    # All sides have one row.
+    for one in (edges.agg(F.count("*").alias("total_relationships")), kinds(nodes, "entity_type", "node_types"), kinds(edges, "rel_type", "rel_types"), best, isolated(nodes, edges).agg(F.count("*").alias("isolated_nodes"))):
+        out = out.join(F.broadcast(one), F.lit(True))
+    return out
+
+
+def edge_counts(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: relationships made of claims, and claims skipped for want of a node. Claims of unknown types are in neither."""
+    known = claims.where(F.col("claim_type").isin(CLAIM_TYPES)).agg(F.count("*").alias("known"))
+    made = edge_table(claims, nodes).agg(F.count("*").alias("created"))
+    return made.join(F.broadcast(known), F.lit(True)).select("created", (F.col("known") - F.col("created")).alias("skipped"))
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids(id)``."""
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

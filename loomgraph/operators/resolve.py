@@ -7,12 +7,15 @@ every tie that goes to the first seen is a minimum.  The name map is a table (no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import is_digits, is_email, normalize_name, similar, strip_u
+from loomgraph.functions.text import NATIVE_LENGTH, is_digits, is_email, normalize_name, similar, similar_long, sorted_tokens, strip_u
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.workspace import Workspace
+from loomgraph.schema import FUZZY
 
 
 def entity_id(kind: Column, name: Column) -> Column:
@@ -74,12 +77,27 @@ def alias_pass(groups: DataFrame, names: DataFrame, ws: Workspace) -> tuple[Data
     return regroup(groups, names, ws.save(alias_edges(groups, names), "alias-edges"), ws, longer_wins=False)
 
 
-def similar_pairs(groups: DataFrame, native_only: bool = False) -> DataFrame:
-    """(a, b) of the same type and first three characters whose names are 0.90 alike; guards and a bounded Levenshtein go first."""
+def similar_pairs(groups: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """(a, b) of the same type and first three characters whose names are ``threshold`` alike; guards and a bounded Levenshtein go first.
+
+    Names fall into bands of length, a band so wide that alike names lie in one or in neighbours: a
+    block of one type and start is split by it. Pairs with a long name are compared apart.
+    """
     n = groups.select("gid", "entity_type", normalize_name(F.col("canonical_name")).alias("n"))
-    n = n.where((F.length("n") >= 4) & ~is_email(F.col("n")) & ~is_digits(F.col("n"))).withColumn("block", F.left("n", F.lit(3)))
-    a, b = n.toDF("a", "entity_type", "na", "block"), n.toDF("b", "entity_type", "nb", "block")
-    return a.join(b, ["entity_type", "block"]).where("a < b").where(10 * F.abs(F.length("na") - F.length("nb")) <= F.length("na") + F.length("nb")).where(similar(F.col("na"), F.col("nb"), native_only)).select("a", "b")
+    n = n.where((F.length("n") >= 4) & ~is_email(F.col("n")) & ~is_digits(F.col("n")))
+    n = n.select("gid", "entity_type", F.left("n", F.lit(3)).alias("block"), sorted_tokens(F.col("n")).alias("t")).withColumn("l", F.length("t"))
+    # |x| - |y| <= (1 - t) (|x| + |y|): in logarithms a fixed step, one band.
+    step = math.log((2 - threshold) / threshold) if threshold < 1 else 1e-9
+    band = F.floor(F.log(F.greatest("l", F.lit(1)).cast("double")) / step + 1e-9)
+    n = n.withColumn("band", band)
+    a = n.toDF("a", "entity_type", "block", "x", "lx", "band")
+    # Every name meets its own band and the one above.
+    b = n.select(F.col("gid").alias("b"), "entity_type", "block", F.col("t").alias("y"), F.col("l").alias("ly"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("own"))
+    slack = round((1 - threshold) * 1000)
+    near = a.join(b, ["entity_type", "block", "band"]).where("a <> b AND (own > band OR a < b)").where(1000 * F.abs(F.col("lx") - F.col("ly")) <= slack * (F.col("lx") + F.col("ly")))
+    long = F.greatest("lx", "ly") > NATIVE_LENGTH
+    found = near.where(~long).where(similar(F.col("x"), F.col("y"), threshold)).unionByName(near.where(long).where(similar_long(F.col("x"), F.col("y"), threshold)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def prefix_pairs(groups: DataFrame, ws: Workspace) -> DataFrame:
@@ -102,17 +120,17 @@ def prefix_pairs(groups: DataFrame, ws: Workspace) -> DataFrame:
     return near.where(starts).select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b")).distinct()
 
 
-def fuzzy_pass(groups: DataFrame, names: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    edges = ws.save(similar_pairs(groups).unionByName(prefix_pairs(groups, ws)).distinct(), "fuzzy-edges")
+def fuzzy_pass(groups: DataFrame, names: DataFrame, ws: Workspace, threshold: float = FUZZY) -> tuple[DataFrame, DataFrame]:
+    edges = ws.save(similar_pairs(groups, threshold).unionByName(prefix_pairs(groups, ws)).distinct(), "fuzzy-edges")
     return regroup(groups, names, edges, ws, longer_wins=True)
 
 
-def resolve(mentions: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+def resolve(mentions: DataFrame, ws: Workspace, threshold: float = FUZZY) -> tuple[DataFrame, DataFrame]:
     """All three passes: (groups, name map)."""
     g, n = exact_pass(mentions)
     g, n = ws.save(g, "exact-groups"), ws.save(n, "exact-names")
     g, n = alias_pass(g, n, ws)
-    return fuzzy_pass(g, n, ws)
+    return fuzzy_pass(g, n, ws, threshold)
 
 
 def entities(groups: DataFrame) -> DataFrame:
@@ -133,6 +151,16 @@ def place_claims(raw: DataFrame, names: DataFrame) -> DataFrame:
     return placed.withColumn("skipped", skipped).withColumn("o", F.coalesce("o", "s")).drop("sn", "on")
 
 
+def skipped_claims(raw: DataFrame, names: DataFrame) -> DataFrame:
+    """One row: claims in all, and those skipped as their subject or a named object is no known entity."""
+    return place_claims(raw, names).agg(F.count("*").alias("raw_claims"), F.count_if("skipped").alias("skipped"))
+
+
+def top_entities(groups: DataFrame, top: int = 15, aliases: int = 3) -> DataFrame:
+    """The most mentioned entities with some of their aliases, as a report shows them."""
+    return groups.orderBy(F.desc("mention_count"), "gid").limit(top).select("gid", "canonical_name", "entity_type", "mention_count", F.slice(F.array_sort("aliases"), 1, aliases).alias("aliases"))
+
+
 def consolidate(raw: DataFrame, names: DataFrame, groups: DataFrame) -> DataFrame:
     """raw(ord, artifact_id, date, claim_type, subject, object, detail, excerpt, confidence) -> claims.
 

@@ -63,6 +63,13 @@ def entity_context(nodes: DataFrame, edges: DataFrame, entity_id: str) -> DataFr
     return node.join(packed, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+def display(context: DataFrame, aliases: int = 10, relationships: int = 15) -> DataFrame:
+    """A context as a page shows it: the first aliases and relationships, and how many there are."""
+    names = F.coalesce("aliases", F.array().cast("array<string>"))
+    rel = F.coalesce("relationships", F.array().cast(context.schema["relationships"].dataType))
+    return context.withColumns({"n_aliases": F.size(names).cast("long"), "n_relationships": F.size(rel).cast("long"), "aliases": F.slice(names, 1, aliases), "relationships": F.slice(rel, 1, relationships)})
+
+
 def claims_by_type(nodes: DataFrame, edges: DataFrame, rel_type: str, min_confidence: float = 0.0, limit: int = 20) -> DataFrame:
     """Edges of a type with their names, surest first. Unknown types are refused."""
     if rel_type.lower() not in CLAIM_TYPES:

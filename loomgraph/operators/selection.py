@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOP_SENDERS, SEED_SENDERS, TOP_PAIRS, ROUNDS, LEAST_SCORE = 30, 20, 20, 15, 5
+from loomgraph.functions.text import strip_u
+
+TOP_SENDERS, SEED_SENDERS, TOP_PAIRS, ROUNDS, LEAST_SCORE, FEW = 30, 20, 20, 15, 5, 1200
+
+
+def network_rows(mail: DataFrame) -> DataFrame:
+    """(sender, recipient, mailbox) per address of To and Cc that has an @, repeats kept; mail without a sender is left out."""
+    every = F.split(F.concat_ws(",", "to_raw", "cc_raw"), ",")
+    return mail.where("sender <> ''").select("sender", F.explode(F.filter(every, lambda a: F.contains(a, F.lit("@")))).alias("r"), "mailbox").select("sender", F.lower(strip_u(F.col("r"))).alias("recipient"), "mailbox")
+
+
+def mailbox_counts(mail: DataFrame) -> DataFrame:
+    """(mailbox, n, senders) of mail that has a sender: messages and distinct senders."""
+    return mail.where("sender <> ''").groupBy("mailbox").agg(F.count("*").alias("n"), F.count_distinct("sender").alias("senders"))
 
 
 def network_edges(comm: DataFrame) -> DataFrame:
@@ -24,6 +39,10 @@ def pair_scores(edges: DataFrame, senders: DataFrame) -> DataFrame:
     return both.groupBy(F.least("sender", "recipient").alias("a"), F.greatest("sender", "recipient").alias("b")).agg(F.sum("n").alias("score"))
 
 
+def top_pairs(pairs: DataFrame, top: int = TOP_PAIRS) -> DataFrame:
+    return pairs.orderBy(F.desc("score"), "a", "b").limit(top)
+
+
 def greedy_cluster(pairs: DataFrame, rounds: int = ROUNDS, least: int = LEAST_SCORE) -> list[str]:
     """Grow from the best pair by the candidate with the highest sum of scores; ties go to the smallest address.
 
@@ -59,7 +78,10 @@ def select_subset(mail: DataFrame, cluster: list[str]) -> DataFrame:
 
 def trim_subset(mail: DataFrame, most: int = 2000, first: str = "2000-06-01", last: str = "2001-12-31") -> DataFrame:
     """Only when there are more than ``most``: the date window, then the first ``most`` by date."""
-    if mail.limit(most + 1).count() <= most:
+    n = mail.limit(most + 1).count()
+    if n < FEW:
+        warnings.warn(f"only {n} messages", stacklevel=2)
+    if n <= most:
         return mail
     return mail.where(F.col("date").between(F.to_timestamp(F.lit(first)), F.to_timestamp(F.lit(last)))).orderBy("date", "id").limit(most)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import mail
 from loomgraph.functions.text import is_email, normalize_name
 from loomgraph.operators import content, extract, graph, profiling, render, resolve, retrieval, selection
+from loomgraph.operators.facade import GraphService
 from loomgraph.operators.workspace import Workspace
 from loomgraph.plans import fixtures as fx
 from loomgraph.sources.writers import context_pack, stats_json
@@ -66,18 +67,27 @@ CANNED = [
 ]
 
 
-def _answers(spark):
-    return extract.parse_answers(spark.createDataFrame(CANNED, "id string, raw string"))
+#: An answer per event: a known or unknown entity and claim, with any confidence, beside the event's own properties.
+EVENT_ANSWER = """
+SELECT 'event:' || cast(event_id AS STRING) AS id,
+       '{"entities":[{"name":"user ' || cast(user_id AS STRING) || '","entity_type":"' || CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'topic' WHEN 2 THEN 'alien' ELSE 'meeting' END || '","properties":' || props || '}],'
+    || '"claims":[{"claim_type":"' || CASE event_id % 3 WHEN 0 THEN 'decided' WHEN 1 THEN 'works_on' ELSE 'rules' END || '","subject":"user ' || cast(user_id AS STRING) || '","object":"' || event_type || '","confidence":' || cast(event_id % 13 AS STRING) || 'e-1}]}' AS raw
+FROM events"""
+
+
+def _answers(spark, d):
+    fx.table(spark, d, "events").createOrReplaceTempView("events")
+    return extract.parse_answers(spark.createDataFrame(CANNED, "id string, raw string").unionByName(spark.sql(EVENT_ANSWER)))
 
 
 @query
 def json_validate_entities(spark, d):
-    return extract.valid_entities(_answers(spark)).withColumn("aliases", joined("aliases"))
+    return extract.valid_entities(_answers(spark, d)).withColumn("aliases", joined("aliases"))
 
 
 @query
 def json_validate_claims(spark, d):
-    return extract.valid_claims(_answers(spark)).drop("detail")
+    return extract.valid_claims(_answers(spark, d)).drop("detail")
 
 
 @query
@@ -126,6 +136,31 @@ def profile_recipients(spark, d):
     return profiling.recipient_stats(_mail(spark, d))
 
 
+@query
+def profile_origins(spark, d):
+    return profiling.value_counts(_mail(spark, d), F.col("x_origin"), "x_origin")
+
+
+@query
+def mail_headers(spark, d):
+    return mail.header_projection(fx.fixture(spark, d, "mail_raw")).withColumn("body_md5", F.md5("body")).drop("body")
+
+
+@query
+def net_map_edges(spark, d):
+    return selection.network_edges(selection.network_rows(_mail(spark, d)))
+
+
+@query
+def net_map_mailboxes(spark, d):
+    return selection.mailbox_counts(_mail(spark, d))
+
+
+@query
+def net_top_pairs(spark, d):
+    return selection.top_pairs(net_pairs(spark, d))
+
+
 @query
 def net_edges(spark, d):
     return selection.network_edges(fx.fixture(spark, d, "comm"))
@@ -158,7 +193,7 @@ def subset_select(spark, d):
 
 @query
 def subset_trim(spark, d):
-    trimmed = selection.trim_subset(_mail(spark, d), most=100)
+    trimmed = selection.trim_subset(_mail(spark, d))
     return trimmed.groupBy("date").agg(F.count("*").alias("n"))
 
 
@@ -233,6 +268,17 @@ def claim_type_distribution(spark, d):
     return _claims(spark, d)[1].groupBy("claim_type").agg(F.count("*").alias("n"))
 
 
+@query
+def claims_skipped(spark, d):
+    _, names = _resolved(spark, d, Workspace(spark, "claims"))
+    return resolve.skipped_claims(fx.raw_claims(spark, d), names)
+
+
+@query
+def er_top(spark, d):
+    return resolve.top_entities(_resolved(spark, d, Workspace(spark, "resolve"))[0]).withColumn("aliases", joined("aliases"))
+
+
 @query
 def dedup_stats(spark, d):
     groups, claims = _claims(spark, d)
@@ -267,9 +313,26 @@ def graph_stats_rel_types(spark, d):
     return graph.type_counts(fx.fixture(spark, d, "kg_edges"), "rel_type")
 
 
+def _listed(c: str):
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+
+
+@query
+def graph_stats_full(spark, d):
+    s = GraphService(*fx.graph(spark, d)).stats()
+    best = F.array_join(F.transform("top_connected", lambda t: F.concat(t["name"], F.lit(" ("), t["type"], F.lit(") "), t["degree"].cast("string"))), "|")
+    return s.select("total_nodes", "total_relationships", _listed("node_types").alias("node_types"), _listed("rel_types").alias("rel_types"), best.alias("top_connected"), "isolated_nodes")
+
+
 @query
 def graph_stats_json(spark, d):
-    return stats_json(graph.totals(*fx.graph(spark, d)))
+    return stats_json(graph.full_stats(*fx.graph(spark, d)))
+
+
+@query
+def graph_edge_counts(spark, d):
+    groups, claims = _claims(spark, d)
+    return graph.edge_counts(claims, graph.node_table(resolve.entities(groups)))
 
 
 @query
@@ -307,6 +370,12 @@ def entity_context(spark, d):
     return one.select("degree", F.inline("relationships")).select("direction", "other_id", "other_name", "other_type", "rel_type", "confidence", "mention_count", "degree")
 
 
+@query
+def entity_display(spark, d):
+    shown = retrieval.display(retrieval.entity_context(*fx.graph(spark, d), "nation:7"))
+    return shown.select("n_relationships", F.posexplode("relationships").alias("at", "r")).select((F.col("at") + 1).cast("long").alias("place"), "r.direction", "r.other_id", "r.rel_type", "r.confidence", "n_relationships")
+
+
 @query
 def entity_detail(spark, d):
     nodes, edges = fx.graph(spark, d)
@@ -353,6 +422,13 @@ def shortest_path(spark, d):
     return path.agg(F.max_by("id", F.struct((-F.col("step")).alias("s"))).alias("source"), F.max_by("id", F.col("step")).alias("target"), F.max("step").alias("hops")).where("hops IS NOT NULL")
 
 
+@query
+def shortest_path_nodes(spark, d):
+    nodes, edges = fx.graph(spark, d)
+    region = fx.table(spark, d, "region").where("r_regionkey = 4").first()["r_name"]
+    return retrieval.shortest_path(nodes, edges, "Customer#000000001", region)
+
+
 @query
 def render_path(spark, d):
     nodes, edges = fx.graph(spark, d)
@@ -400,7 +476,7 @@ def context_pack_entity(spark, d):
 @query
 def extract_rules(spark, d):
     a = _mail(spark, d)
-    raw = extract.extract(a.select("id", mail.prompt(a).alias("prompt")), wait=lambda n: 0.0)
+    raw = extract.extract(a.select("id", mail.prompt(a).alias("prompt")), wait=lambda e, n: 0.0)
     docs = extract.parse_answers(raw)
     return extract.run_stats(raw, extract.valid_entities(docs), extract.valid_claims(docs))
 

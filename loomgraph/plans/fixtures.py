@@ -8,11 +8,12 @@ SQL = {
     "mail_raw": """
 SELECT role || '/sent/' || cast(conv_id AS STRING) || '.' || cast(turn AS STRING) AS file,
        'Message-ID: <' || cast(conv_id AS STRING) || '.' || cast(turn AS STRING) || '@example.com>' || chr(10)
-    || 'Date: Mon, 14 May 2001 16:' || lpad(cast(turn AS STRING), 2, '0') || ':00 -0700 (PDT)' || chr(10)
+    || 'Date: Mon, ' || cast(conv_id % 28 + 1 AS STRING) || ' May 2001 16:' || lpad(cast(turn AS STRING), 2, '0') || ':00 -0700 (PDT)' || chr(10)
     || 'From: ' || upper(role) || '@Example.com' || chr(10)
     || 'To: a' || cast(conv_id % 5 AS STRING) || '@example.com, B@example.com' || chr(10)
+    || CASE WHEN conv_id % 3 = 0 THEN 'Cc: C@Example.com, staff, d' || cast(turn % 4 AS STRING) || '@example.com' || chr(10) ELSE '' END
     || 'Subject: ' || CASE WHEN turn % 3 = 1 THEN 'RE: ' WHEN turn % 3 = 2 THEN 'FW: ' ELSE '' END || 'conv ' || cast(conv_id AS STRING) || chr(10)
-    || 'X-From: ' || role || chr(10) || chr(10) || text AS message
+    || 'X-From: ' || role || chr(10) || 'X-Origin: ' || upper(role) || '-' || cast(conv_id % 4 AS STRING) || chr(10) || chr(10) || text AS message
 FROM conversations""",
     "kg_nodes": """
 SELECT 'region:' || cast(r_regionkey AS STRING) AS id, r_name AS canonical_name, 'topic' AS entity_type, cast(5 AS BIGINT) AS mention_count FROM region

@@ -8,12 +8,13 @@ from loomgraph.schema import EDGE_COLOURS, NODE_COLOURS
 MAIL = f"""mail_raw AS ({SQL["mail_raw"]}),
 mail AS (SELECT *, left(message, strpos(message, chr(10) || chr(10)) - 1) AS head, substr(message, strpos(message, chr(10) || chr(10)) + 2) AS body FROM mail_raw),
 art AS (SELECT file AS file_path, split_part(file, '/', 1) AS mailbox, regexp_extract(head, 'Message-ID: ([^\\n]*)', 1) AS message_id, lower(regexp_extract(head, '\\nFrom: ([^\\n]*)', 1)) AS sender,
-               regexp_extract(head, '\\nX-From: ([^\\n]*)', 1) AS sender_name, regexp_extract(head, '\\nTo: ([^\\n]*)', 1) AS to_raw, regexp_extract(head, '\\nSubject: ([^\\n]*)', 1) AS subject,
+               regexp_extract(head, '\\nX-From: ([^\\n]*)', 1) AS sender_name, regexp_extract(head, '\\nTo: ([^\\n]*)', 1) AS to_raw, regexp_extract(head, '\\nSubject: ([^\\n]*)', 1) AS subject, regexp_extract(head, '\\nCc: ([^\\n]*)', 1) AS cc_raw, regexp_extract(head, '\\nX-Origin: ([^\\n]*)', 1) AS x_origin,
                strptime(regexp_extract(head, '\\nDate: [A-Za-z]+, ([^(\\n]*[0-9])', 1), '%d %b %Y %H:%M:%S %z') AT TIME ZONE 'UTC' AS date, body,
                CASE WHEN body = '' THEN '' ELSE sha256(body) END AS body_hash FROM mail)"""
 FORWARD = "(body <> '' AND (contains(lower(subject), 'fw:') OR contains(lower(subject), 'fwd:') OR contains(left(lower(body), 500), '--- forwarded')))"
 REPLY = "starts_with(lower(subject), 're:')"
 TO = "array_to_string(list_transform(string_split(to_raw, ','), lambda x: lower(trim(x))), '|')"
+CC = "list_transform(list_filter(string_split(cc_raw, ','), lambda x: trim(x) <> ''), lambda x: lower(trim(x)))"
 KG = ", ".join(f"{k} AS ({SQL[k]})" for k in ("kg_nodes", "kg_aliases", "kg_edges"))
 ENDS = "ends AS (SELECT src AS id FROM kg_edges UNION ALL SELECT dst FROM kg_edges WHERE dst <> src)"
 DEG = "deg AS (SELECT id, count(*) AS degree FROM ends GROUP BY id)"
@@ -85,6 +86,16 @@ top AS (SELECT near.id, dist FROM near JOIN kg_nodes n ON n.id = near.id ORDER B
 ids AS (SELECT id, min(dist) AS dist FROM (SELECT id, dist FROM top UNION ALL SELECT id, 0 FROM c) GROUP BY id)"""
 
 
+#: The shortest path from its end, at every step by the smallest id one level nearer to the source.
+PATH = f"""WITH RECURSIVE {KG}, pairs2 AS (SELECT src AS a, dst AS b FROM kg_edges WHERE src <> dst UNION SELECT dst, src FROM kg_edges WHERE src <> dst),
+w(id, hops) AS (SELECT 'customer:1', 0 UNION SELECT pairs2.b, w.hops + 1 FROM w JOIN pairs2 ON pairs2.a = w.id WHERE w.hops < 4),
+lv AS (SELECT id, min(hops) AS hops FROM w GROUP BY id),
+back AS (SELECT l.id, l.hops, min(m.id) AS near FROM lv l JOIN pairs2 ON pairs2.a = l.id JOIN lv m ON m.id = pairs2.b AND m.hops = l.hops - 1 GROUP BY l.id, l.hops),
+walk(id, hops) AS (SELECT id, hops FROM lv WHERE id = 'region:4' UNION ALL SELECT back.near, walk.hops - 1 FROM walk JOIN back ON back.id = walk.id),
+hop AS (SELECT id, hops AS step FROM walk),
+rel AS (SELECT step, r.rel_type, r.src, r.dst FROM (SELECT h.step, min(struct_pack(rel_type := e.rel_type, src := e.src, dst := e.dst)) AS r FROM hop h JOIN hop g ON g.step = h.step - 1 JOIN kg_edges e ON least(e.src, e.dst) = least(h.id, g.id) AND greatest(e.src, e.dst) = greatest(h.id, g.id) GROUP BY h.step))"""
+
+
 def _case(column: str, known: dict[str, str], other: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in known.items()) + f" ELSE '{other}' END"
 
@@ -97,10 +108,10 @@ HASH = "CASE WHEN text = '' THEN '' ELSE sha256(text) END"
 ORACLES = {
     "content_dedup": f"SELECT doc_id, body_hash FROM (SELECT doc_id, {HASH} AS body_hash, row_number() OVER (PARTITION BY {HASH} ORDER BY doc_id) AS r FROM documents) WHERE r = 1",
     "content_dupe_pairs": f"WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {HASH}) AS original FROM documents) SELECT doc_id AS duplicate, original FROM h WHERE doc_id <> original",
-    "mail_parse": f"WITH {MAIL} SELECT file_path, message_id, sender, sender_name, {TO} AS recipients, '' AS cc, subject, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, body_hash, CAST(length(body) AS BIGINT) AS body_len, {FORWARD} AS is_forward, {REPLY} AS is_reply, mailbox FROM art",
-    "mail_prompt": f"WITH {MAIL} SELECT file_path, md5('Find the entities and claims of this message.' || chr(10) || 'From: ' || sender || ' (' || sender_name || ')' || chr(10) || 'To: ' || array_to_string(list_transform(string_split(to_raw, ','), lambda x: lower(trim(x))), ', ') || chr(10) || 'Cc: ' || chr(10) || 'Subject: ' || subject || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Forward: ' || CAST({FORWARD} AS VARCHAR) || chr(10) || 'Reply: ' || CAST({REPLY} AS VARCHAR) || chr(10) || chr(10) || left(body, 2000)) AS prompt_md5 FROM art",
-    "json_validate_entities": "SELECT * FROM (VALUES ('fenced', 0, 'Ann Lee', 'person', 'A. Lee|Ann'), ('talk', 0, 'Acme', 'organization', ''), ('mixed', 1, 'Plan B', 'project', '')) t(id, pos, name, entity_type, aliases)",
-    "json_validate_claims": "SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM (VALUES ('fenced', 0, 'works_at', 'Ann Lee', 'Acme', 'x', 0.9), ('talk', 0, 'decided', 'Acme', 'Acme', '', 0.7), ('talk', 1, 'decided', 'Acme', '', '', 0.5), ('mixed', 2, 'part_of', 'Plan B', 'Plan B', '', 1.0)) t(id, pos, claim_type, subject, object, excerpt, confidence)",
+    "mail_parse": f"WITH {MAIL} SELECT file_path, message_id, sender, sender_name, {TO} AS recipients, array_to_string({CC}, '|') AS cc, subject, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, body_hash, CAST(length(body) AS BIGINT) AS body_len, {FORWARD} AS is_forward, {REPLY} AS is_reply, mailbox FROM art",
+    "mail_prompt": f"WITH {MAIL} SELECT file_path, md5('Find the entities and claims of this message.' || chr(10) || 'From: ' || sender || ' (' || sender_name || ')' || chr(10) || 'To: ' || array_to_string(list_transform(string_split(to_raw, ','), lambda x: lower(trim(x))), ', ') || chr(10) || 'Cc: ' || array_to_string(({CC})[1:5], ', ') || chr(10) || 'Subject: ' || subject || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Forward: ' || CAST({FORWARD} AS VARCHAR) || chr(10) || 'Reply: ' || CAST({REPLY} AS VARCHAR) || chr(10) || chr(10) || left(body, 2000)) AS prompt_md5 FROM art",
+    "json_validate_entities": "SELECT * FROM (VALUES ('fenced', 0, 'Ann Lee', 'person', 'A. Lee|Ann'), ('talk', 0, 'Acme', 'organization', ''), ('mixed', 1, 'Plan B', 'project', '')) t(id, pos, name, entity_type, aliases) UNION ALL SELECT 'event:' || event_id, 0, 'user ' || user_id, CASE event_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'topic' ELSE 'meeting' END, '' FROM events WHERE event_id % 4 <> 2",
+    "json_validate_claims": "SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM (VALUES ('fenced', 0, 'works_at', 'Ann Lee', 'Acme', 'x', 0.9), ('talk', 0, 'decided', 'Acme', 'Acme', '', 0.7), ('talk', 1, 'decided', 'Acme', '', '', 0.5), ('mixed', 2, 'part_of', 'Plan B', 'Plan B', '', 1.0)) t(id, pos, claim_type, subject, object, excerpt, confidence) UNION ALL SELECT 'event:' || event_id, 0, CASE event_id % 3 WHEN 0 THEN 'decided' ELSE 'works_on' END, 'user ' || user_id, event_type, '', CAST(event_id % 13 AS DOUBLE) / 10 FROM events WHERE event_id % 3 <> 2 AND event_id % 13 BETWEEN 5 AND 10",
     "normalize_names": f"WITH tok AS ({TOK_DUCKDB}) SELECT DISTINCT name, {NORM.format('name')} AS norm, contains(name, '@') AND contains(name, '.') AS is_email FROM tok",
     "profile_senders": f"WITH {MAIL} SELECT sender, count(*) AS n FROM art GROUP BY sender",
     "profile_folders": f"WITH {MAIL} SELECT 'sent' || CAST(length(subject) % 4 AS VARCHAR) AS folder, count(*) AS n FROM art GROUP BY 1",
@@ -110,12 +121,12 @@ ORACLES = {
     "profile_monthly": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, month LIMIT 15",
     "profile_patterns": f"""WITH {MAIL}, s AS (SELECT count(*) AS t, count(*) FILTER (regexp_matches(subject, '(?i)fw:|fwd:')) AS f, count(*) FILTER (regexp_matches(subject, '(?i)re:')) AS r, count(*) FILTER (regexp_matches(body, '(?i)-----\\s*Original Message')) AS o, count(*) FILTER (regexp_matches(body, '(?i)-----\\s*Forwarded by')) AS w FROM art)
 SELECT pattern, n, round(100.0 * n / greatest(t, 1), 6) AS pct FROM (SELECT 'forward_subject' AS pattern, f AS n, t FROM s UNION ALL SELECT 'reply_subject', r, t FROM s UNION ALL SELECT 'original_message', o, t FROM s UNION ALL SELECT 'forwarded_by', w, t FROM s)""",
-    "profile_recipients": f"WITH {MAIL} SELECT round(avg(len(string_split(to_raw, ','))), 6) AS avg_recipients, max(len(string_split(to_raw, ','))) AS max_recipients, CAST(0 AS BIGINT) AS with_cc, CAST(0 AS BIGINT) AS with_bcc FROM art",
+    "profile_recipients": f"WITH {MAIL} SELECT round(avg(len(string_split(to_raw, ','))), 6) AS avg_recipients, max(len(string_split(to_raw, ','))) AS max_recipients, count(*) FILTER (cc_raw <> '') AS with_cc, CAST(0 AS BIGINT) AS with_bcc FROM art",
     "net_edges": f"WITH comm AS ({SQL['comm']}) SELECT sender, recipient, count(*) AS n FROM comm GROUP BY 1, 2",
     "net_top_senders": f"WITH comm AS ({SQL['comm']}) SELECT sender, count(*) AS n FROM comm GROUP BY 1 ORDER BY n DESC, sender LIMIT 30",
     "net_pairs": f"WITH comm AS ({SQL['comm']}), t AS (SELECT sender FROM comm GROUP BY 1 ORDER BY count(*) DESC, sender LIMIT 20) SELECT least(sender, recipient) AS a, greatest(sender, recipient) AS b, count(*) AS score FROM comm WHERE sender IN (SELECT sender FROM t) AND recipient IN (SELECT sender FROM t) GROUP BY 1, 2",
     "subset_select": f"WITH {MAIL} SELECT file_path, mailbox, sender FROM art WHERE mailbox IN (SELECT mailbox FROM art WHERE sender IN ('system@example.com', 'a1@example.com')) OR sender IN ('system@example.com', 'a1@example.com') OR contains(lower(to_raw), 'a1@example.com') OR contains(lower(to_raw), 'system@example.com')",
-    "subset_trim": f"WITH {MAIL} SELECT date_trunc('second', date) AS date, count(*) AS n FROM (SELECT date FROM art WHERE date BETWEEN TIMESTAMP '2000-06-01' AND TIMESTAMP '2001-12-31' ORDER BY date LIMIT 100) GROUP BY 1",
+    "subset_trim": f"WITH {MAIL} SELECT date_trunc('second', date) AS date, count(*) AS n FROM (SELECT date FROM art WHERE (SELECT count(*) FROM art) <= 2000 UNION ALL (SELECT date FROM art WHERE (SELECT count(*) FROM art) > 2000 AND date BETWEEN TIMESTAMP '2000-06-01' AND TIMESTAMP '2001-12-31' ORDER BY date LIMIT 2000)) GROUP BY 1",
     "subset_stats": f"WITH {MAIL} SELECT count(*) AS n, count(DISTINCT sender) AS senders, count(DISTINCT subject) AS subjects, count(*) FILTER ({FORWARD}) AS forwards, count(*) FILTER ({REPLY}) AS replies, round(avg(CAST({REPLY} AS INTEGER)), 6) AS reply_share, round(avg(length(body)), 6) AS mean_len FROM art",
     "er_exact": f"WITH RECURSIVE {EXACT} {GROUPS.format(g='g1', al='al1', so='so1')}",
     "er_name_map": f"WITH RECURSIVE {EXACT} SELECT norm, gid FROM nm1",
@@ -153,5 +164,24 @@ SELECT 'customer:1' AS source, id AS target, min(hops) AS hops FROM w WHERE id =
     "render_nodes": f"WITH {KG} SELECT id, left(canonical_name, 25) AS label, canonical_name || ' (' || entity_type || ')' || chr(10) || 'Mentions: ' || CAST(mention_count AS VARCHAR) AS title, greatest(10, least(40, mention_count)) AS size, {_case('entity_type', NODE_COLOURS, '#BDBDBD')} AS color FROM kg_nodes",
     "render_edges": f"WITH {KG} SELECT src, dst, rel_type AS label, {_case('rel_type', EDGE_COLOURS, '#999')} AS color, round(greatest(1.0, confidence * 3), 6) AS width FROM kg_edges",
     "render_overview": f"WITH {KG}, {ENDS}, {DEG} SELECT n.id, left(canonical_name, 20) AS label, greatest(8, least(50, 2 * degree)) AS size, 1 AS border FROM deg JOIN kg_nodes n ON n.id = deg.id",
+    "mail_headers": f"WITH {MAIL} SELECT m.file, regexp_extract(head, '\\nFrom: ([^\\n]*)', 1) AS \"from\", regexp_extract(head, '\\nTo: ([^\\n]*)', 1) AS \"to\", regexp_extract(head, '\\nCc: ([^\\n]*)', 1) AS cc, '' AS bcc, regexp_extract(head, '\\nSubject: ([^\\n]*)', 1) AS subject, regexp_extract(head, '\\nDate: ([^\\n]*)', 1) AS date, regexp_extract(head, '\\nX-From: ([^\\n]*)', 1) AS x_from, '' AS x_to, '' AS x_folder, regexp_extract(head, '\\nX-Origin: ([^\\n]*)', 1) AS x_origin, md5(body) AS body_md5, CAST(NULL AS VARCHAR) AS error FROM mail m",
+    "profile_origins": f"WITH {MAIL} SELECT x_origin, count(*) AS n FROM art GROUP BY 1",
+    "net_map_edges": f"WITH {MAIL}, r AS (SELECT sender, unnest(string_split(to_raw || ',' || cc_raw, ',')) AS a FROM art) SELECT sender, lower(trim(a)) AS recipient, count(*) AS n FROM r WHERE contains(a, '@') GROUP BY 1, 2",
+    "net_map_mailboxes": f"WITH {MAIL} SELECT mailbox, count(*) AS n, count(DISTINCT sender) AS senders FROM art WHERE sender <> '' GROUP BY 1",
+    "net_top_pairs": f"WITH comm AS ({SQL['comm']}), t AS (SELECT sender FROM comm GROUP BY 1 ORDER BY count(*) DESC, sender LIMIT 20) SELECT least(sender, recipient) AS a, greatest(sender, recipient) AS b, count(*) AS score FROM comm WHERE sender IN (SELECT sender FROM t) AND recipient IN (SELECT sender FROM t) GROUP BY 1, 2 ORDER BY score DESC, a, b LIMIT 20",
+    "claims_skipped": f"WITH RECURSIVE {CLAIMS} SELECT count(*) AS raw_claims, count(*) FILTER (skipped) AS skipped FROM placed",
+    "er_top": f"WITH RECURSIVE {FUZZY}, t AS (SELECT * FROM g3 ORDER BY mention_count DESC, gid LIMIT 15) SELECT gid, canonical_name, entity_type, mention_count, (SELECT coalesce(string_agg(a, '|' ORDER BY a), '') FROM (SELECT a FROM al3 x WHERE x.gid = t.gid ORDER BY a LIMIT 3)) AS aliases FROM t",
+    "graph_edge_counts": f"WITH RECURSIVE {CLAIMS} SELECT count(*) AS created, CAST(0 AS BIGINT) AS skipped FROM cl",
+    "entity_display": f"WITH {KG}, {REL} SELECT place, direction, other_id, rel_type, confidence, n_relationships FROM (SELECT *, row_number() OVER (ORDER BY direction DESC, confidence DESC, other_id, rel_type) AS place, count(*) OVER () AS n_relationships FROM rel WHERE id = 'nation:7') WHERE place <= 15",
+    "graph_stats_full": f"""WITH {KG}, {ENDS}, {DEG}, t AS (SELECT n.id, canonical_name AS name, entity_type AS type, degree FROM deg JOIN kg_nodes n ON n.id = deg.id ORDER BY degree DESC, n.id LIMIT 10),
+nt AS (SELECT entity_type AS k, count(*) AS n FROM kg_nodes GROUP BY 1), rt AS (SELECT rel_type AS k, count(*) AS n FROM kg_edges GROUP BY 1)
+SELECT (SELECT count(*) FROM kg_nodes) AS total_nodes, (SELECT count(*) FROM kg_edges) AS total_relationships, (SELECT string_agg(k || '=' || n, '|' ORDER BY n DESC, k) FROM nt) AS node_types, (SELECT string_agg(k || '=' || n, '|' ORDER BY n DESC, k) FROM rt) AS rel_types,
+       (SELECT string_agg(name || ' (' || type || ') ' || degree, '|' ORDER BY degree DESC, id) FROM t) AS top_connected, (SELECT count(*) FROM kg_nodes WHERE id NOT IN (SELECT id FROM ends)) AS isolated_nodes""",
+    "graph_stats_json": f"""WITH {KG}, {ENDS}, {DEG}, t AS (SELECT n.id, canonical_name AS name, entity_type AS type, degree FROM deg JOIN kg_nodes n ON n.id = deg.id ORDER BY degree DESC, n.id LIMIT 10),
+nt AS (SELECT entity_type AS k, count(*) AS n FROM kg_nodes GROUP BY 1), rt AS (SELECT rel_type AS k, count(*) AS n FROM kg_edges GROUP BY 1)
+SELECT '{{"total_nodes":' || (SELECT count(*) FROM kg_nodes) || ',"total_relationships":' || (SELECT count(*) FROM kg_edges) || ',"node_types":{{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY n DESC, k) FROM nt) || '}},"rel_types":{{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY n DESC, k) FROM rt)
+       || '}},"top_connected":[' || (SELECT string_agg('{{"name":"' || name || '","type":"' || type || '","degree":' || degree || '}}', ',' ORDER BY degree DESC, id) FROM t) || '],"isolated_nodes":' || (SELECT count(*) FROM kg_nodes WHERE id NOT IN (SELECT id FROM ends)) || '}}' AS json""",
+    "shortest_path_nodes": f"{PATH} SELECT step, hop.id, canonical_name AS name, entity_type AS type, rel.rel_type, rel.src, rel.dst FROM hop JOIN kg_nodes n ON n.id = hop.id LEFT JOIN rel USING (step)",
+    "render_path": f"{PATH} SELECT string_agg(CASE WHEN rel.rel_type IS NULL THEN '' ELSE ' —[' || rel.rel_type || ']→ ' END || '**' || canonical_name || '** (' || entity_type || ')', '' ORDER BY step) AS path, count(*) AS nodes FROM hop JOIN kg_nodes n ON n.id = hop.id LEFT JOIN rel USING (step)",
     "stream_ingest": f"WITH {MAIL} SELECT message_id, body_hash FROM (SELECT *, row_number() OVER (PARTITION BY body_hash ORDER BY file_path) AS r FROM art) WHERE r = 1",
 }

@@ -13,6 +13,7 @@ EDGE_COLOURS = {
     "COMMUNICATED_WITH": "#2196F3", "ATTENDED": "#FFC107", "ASSIGNED_TO": "#009688", "MENTIONED_IN": "#607D8B", "CONTRADICTS": "#F44336", "SUPERSEDES": "#795548",
 }
 OTHER_NODE, OTHER_EDGE = "#BDBDBD", "#999"
+SCHEMA_VERSION, DEDUP_VERSION = "v1.0", "v1.0"
 MIN_CONFIDENCE, FUZZY, DEFAULT_CONFIDENCE = 0.5, 0.90, 0.7
 
 

@@ -38,7 +38,8 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that Python workers can import it."""
     sc = spark.sparkContext
     # Texts can be long: small Arrow batches keep the memory of tasks and Python workers low.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    if not sc.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if getattr(sc, "_loomgraph_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))

@@ -58,6 +58,31 @@ def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return doc.select(F.inline("entities")), doc.select(F.inline("claims"))
 
 
+def resolved_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, claims, document) as ``writers.graph_document`` stores them."""
+    return spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/claims"), spark.read.json(f"{path}/document")
+
+
+CHECKPOINT = StructType([StructField(n, ArrayType(StringType())) for n in ("processed_ids", "failed_ids")] + [StructField("version", StringType())])
+
+
+def checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """(message_id, status) of a checkpoint document, or of its ``.bak`` where it is broken; nothing where there is none. Missing keys are empty."""
+    for place in (path, f"{path}.bak"):
+        try:
+            doc = spark.read.schema(CHECKPOINT).option("multiLine", True).option("mode", "FAILFAST").json(place)
+            ids = lambda c, s: doc.select(F.explode(c).alias("message_id"), F.lit(s).alias("status"))
+            out = ids("processed_ids", "processed").unionByName(ids("failed_ids", "failed"))
+            out.isEmpty()
+            return out
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e) and place == path:
+                break
+            if not any(k in str(e) for k in ("PATH_NOT_FOUND", "MALFORMED_RECORD", "FAILED_READ_FILE")):
+                raise
+    return spark.createDataFrame([], "message_id string, status string")
+
+
 def cached(spark: SparkSession, path: str, compute) -> DataFrame:
     """A stored table, or ``compute()`` where there is none."""
     try:

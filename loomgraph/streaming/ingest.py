@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import signal
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.functions.mail import parse_mail
 from loomgraph.operators.content import firsts
+from loomgraph.operators.extract import Extractor, extract
 from loomgraph.schema import MAIL_RAW
 
 
@@ -16,10 +20,12 @@ def read_mail_stream(spark: SparkSession, folder: str, files_per_batch: int = 1)
     return spark.readStream.schema(MAIL_RAW).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+def ingest_batch(batch: DataFrame, batch_id: int, table: str, extractor: Extractor | None = None, wait: Callable[[str, int], float] | None = None) -> None:
     """Parse, drop what the table has by message id or body, and write a partition of this batch's own.
 
-    The partition is named by the batch and overwritten, so a repeated batch changes nothing.
+    The partition is named by the batch and overwritten, so a repeated batch changes nothing. With an
+    extractor every new message is given to it, and its last answer is kept; where that is none the message
+    failed, which counts as done like any other status.
     """
     spark = batch.sparkSession
     keyed = parse_mail(batch).select("message_id", "file_path", "sender", "subject", "date", "body", "body_hash").persist()  # read once, used twice
@@ -31,13 +37,42 @@ def ingest_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    new.withColumn("status", F.lit("processed")).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    if extractor is None:
+        told = new.withColumns({"status": F.lit("processed"), "answer": F.lit(None).cast("string"), "attempts": F.lit(0)})
+    else:
+        answers = extract(new.select("file_path", F.concat(F.lit("\n\n"), "body").alias("prompt")), extractor, "file_path", wait=wait)
+        told = new.join(answers.select("file_path", F.col("raw").alias("answer"), "attempts", "error"), "file_path")
+        told = told.withColumn("status", F.when(F.col("error").isNull(), "processed").otherwise("failed")).drop("error")
+    told.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
     keyed.unpersist()
 
 
-def ingest_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def ingest_stream(stream: DataFrame, table: str, checkpoint: str, extractor: Extractor | None = None, wait: Callable[[str, int], float] | None = None) -> StreamingQuery:
     """Run over what is there and stop; call again to go on from the checkpoint."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, i: ingest_batch(df, i, table)).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, i: ingest_batch(df, i, table, extractor, wait)).start()
+
+
+def stop_gracefully(query: StreamingQuery) -> Callable[[int, object], None]:
+    """Let SIGINT and SIGTERM stop the query, whose finished batches stay; a second one ends the process. Returns the handler."""
+    asked = []
+
+    def handle(number: int, frame: object) -> None:
+        if asked:
+            raise KeyboardInterrupt
+        asked.append(number)
+        query.stop()
+
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, handle)
+    return handle
+
+
+def compact(spark: SparkSession, table: str, target: str) -> None:
+    """The whole ledger in few files under one batch, that of its last, in a new place: partitions of old batches add up."""
+    past = spark.read.parquet(table)
+    last = past.agg(F.max("batch")).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    past.drop("batch").repartition(parts, "message_id").write.mode("overwrite").parquet(f"{target}/batch={last}")
 
 
 def ledger(spark: SparkSession, table: str) -> DataFrame:

@@ -59,3 +59,66 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'er_fuzzy' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_resolved_graph_and_page(spark, tmp_path):
+    entities = spark.createDataFrame([("a", "A <b>", "person", 3)], "id string, canonical_name string, entity_type string, mention_count long")
+    claims = spark.createDataFrame([("c", "decided")], "id string, claim_type string")
+    stats = spark.createDataFrame([(5, 1)], "raw_entities long, entities long")
+    writers.graph_document(entities, claims, stats, str(tmp_path / "g"))
+    e, c, head = readers.resolved_graph(spark, str(tmp_path / "g"))
+    assert e.first() == entities.first() and c.first() == claims.first()
+    assert head.first()["schema_version"] == "v1.0" and head.first()["stats"]["raw_entities"] == 5
+    page = writers.graph_page(entities.selectExpr("id", "canonical_name AS label", "20 AS size"), claims.selectExpr("id AS src", "id AS dst", "1.0 AS width"), "T & t").first()["html"]
+    assert "<title>T &amp; t</title>" in page and "A \\u003cb>" in page and '"src":"c"' in page
+    one = {"schema_version": "v1.0", "entities": [{"id": "x", "canonical_name": "X"}], "claims": [{"id": "k", "claim_type": "decided"}]}
+    (tmp_path / "one.json").write_text(json.dumps(one, indent=1))
+    e, c = readers.graph_document(spark, str(tmp_path / "one.json"))
+    assert e.first()["canonical_name"] == "X" and c.first()["claim_type"] == "decided"
+
+
+def test_checkpoint_falls_back(spark, tmp_path):
+    path = tmp_path / "c.json"
+    assert readers.checkpoint(spark, str(path)).count() == 0
+    path.write_text('{"processed_ids": ["1"')
+    assert readers.checkpoint(spark, str(path)).count() == 0
+    (tmp_path / "c.json.bak").write_text('{"processed_ids": ["1"], "failed_ids": ["2"]}')
+    assert sorted(map(tuple, readers.checkpoint(spark, str(path)).collect())) == [("1", "processed"), ("2", "failed")]
+    path.write_text('{"processed_ids": ["9"]}')
+    assert [tuple(r) for r in readers.checkpoint(spark, str(path)).collect()] == [("9", "processed")]
+
+
+def test_failed_messages_are_done(spark, tmp_path):
+    import signal
+
+    from loomgraph.streaming import ingest
+
+    def flaky(prompt):
+        if "bad" in prompt:
+            raise ConnectionError("lost")
+        return '{"entities": [], "claims": []}'
+
+    def put(rows):
+        spark.createDataFrame(rows, "file string, message string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    run = lambda: ingest_stream(read_mail_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), flaky, lambda e, n: 0.0)
+    put([("b/1", "Message-ID: <1>\n\nbad"), ("b/2", "Message-ID: <2>\n\ngood")])
+    run().awaitTermination()
+    put([("b/3", "Message-ID: <1>\n\nnow good"), ("b/4", "Message-ID: <4>\n\nmore")])
+    q = run()
+    q.awaitTermination()
+    want = [("<1>", "failed", 4), ("<2>", "processed", 1), ("<4>", "processed", 1)]
+    assert sorted((r["message_id"], r["status"], r["attempts"]) for r in ledger(spark, str(tmp_path / "t")).collect()) == want
+    ingest.compact(spark, str(tmp_path / "t"), str(tmp_path / "t2"))
+    assert sorted((r["message_id"], r["status"], r["attempts"]) for r in ledger(spark, str(tmp_path / "t2")).collect()) == want
+    old = [signal.getsignal(s) for s in (signal.SIGINT, signal.SIGTERM)]
+    try:
+        handle = ingest.stop_gracefully(q)
+        handle(2, None)
+        import pytest
+
+        with pytest.raises(KeyboardInterrupt):
+            handle(2, None)
+    finally:
+        for s, h in zip((signal.SIGINT, signal.SIGTERM), old, strict=True):
+            signal.signal(s, h)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import mail, text
 from loomgraph.operators import content, extract, graph, render, resolve, retrieval, selection
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.facade import GraphService
 from loomgraph.operators.skew import lookup_join
 
 
@@ -62,7 +63,7 @@ def test_lcs_matches_table(spark, pairs):
 def test_long_names_are_compared(spark):
     a = "x" * 70 + " bb"
     df = spark.createDataFrame([(a, "x" * 69 + " bb"), (a, "y" * 70)], "a string, b string")
-    assert [r[0] for r in df.select(text.similar(F.col("a"), F.col("b"))).collect()] == [True, False]
+    assert [r[0] for r in df.select(text.similar_long(F.col("a"), F.col("b"))).collect()] == [True, False]
 
 
 @pytest.mark.parametrize("raw,want", [("  'Ann  Lee' ", "ann lee"), ('"Bob"', "bob"), (" X y", "x y"), ("' a '", " a ")])
@@ -70,9 +71,31 @@ def test_normalize_name(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "n string").select(text.normalize_name(F.col("n"))).first()[0] == want
 
 
-def test_token_order_does_not_matter(spark):
-    df = spark.createDataFrame([("smith john a", "john smith a"), ("abcd", "wxyz")], "a string, b string")
-    assert [r[0] for r in df.select(text.similar(F.col("a"), F.col("b"))).collect()] == [True, False]
+def plain_similar(groups, threshold):
+    """Every pair of one type and start, by the table recurrence."""
+    out = set()
+    for i, (g, t, n) in enumerate(groups):
+        for h, u, m in groups[:i]:
+            if t == u and n[:3] == m[:3] and min(len(n), len(m)) >= 4 and not n.isdigit() and not m.isdigit():
+                x, y = " ".join(sorted(n.split())), " ".join(sorted(m.split()))
+                if 1 - (len(x) + len(y) - 2 * text.lcs_plain(x, y)) / (len(x) + len(y)) >= threshold - 1e-12:
+                    out.add((min(g, h), max(g, h)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.75, 1.0])
+def test_similar_pairs_are_those_of_all_pairs(spark, threshold):
+    r = random.Random(5)
+    names = []
+    for _ in range(60):
+        base = "abc" + "".join(r.choice("ab c") for _ in range(r.choice([2, 5, 9, 20, 40, 90]))).replace("  ", " ").rstrip()
+        for _ in range(4):
+            k = r.randrange(3, len(base) + 1)
+            names.append((base[:k] + r.choice(["", "b", "x", "cc"]) + base[k + r.choice([0, 1]) :]).strip())
+    groups = [(i, r.choice(["person", "topic"]), " ".join(n.split())) for i, n in enumerate(names)] + [(900, "person", "abc 12"), (901, "person", "abc")]
+    df = spark.createDataFrame(groups, "gid long, entity_type string, canonical_name string")
+    got = [tuple(x) for x in resolve.similar_pairs(df, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_similar(groups, threshold)
 
 
 MAILS = [
@@ -229,7 +252,7 @@ def test_extractor_retries(spark):
         return "no" if os.urandom(1) is None else '{"entities": [], "claims": []}'
 
     df = spark.createDataFrame([("1", "h\n\n" + "x" * 200), ("2", "h\n\nshort")], "id string, prompt string")
-    got = {r["id"]: (r["attempts"], r["error"]) for r in extract.extract(df, flaky, retries=2, wait=lambda n: 0.0).collect()}
+    got = {r["id"]: (r["attempts"], r["error"]) for r in extract.extract(df, flaky, retries=2, wait=lambda e, n: 0.0).collect()}
     assert got == {"1": (3, "empty"), "2": (1, None)} and not calls
 
 
@@ -238,3 +261,55 @@ def test_null_placeholders_and_styles(kg):
     size = {r["id"]: r["size"] for r in render.nodes_interactive(nodes).collect()}
     assert size["b"] == 10 and size["a"] == 10
     assert min(r["width"] for r in render.edges_interactive(edges).collect()) >= 1
+
+
+def test_service(spark, kg, tmp_path):
+    service = GraphService(*kg)
+    assert service.health()["status"] == "ok"
+    s = service.stats().first()
+    assert (s["total_nodes"], s["total_relationships"], s["isolated_nodes"]) == (6, 6, 1)
+    assert s["node_types"] == {"topic": 5, "person": 1} and s["rel_types"] == {"DECIDED": 5, "PART_OF": 1} and s["top_connected"][0]["name"] == "Beta"
+    service.stats().write.parquet(f"{tmp_path}/stats")
+    stored = GraphService(kg[0].limit(0), kg[1].limit(0), f"{tmp_path}/stats")
+    assert stored.overview().first()["nodes"] == 6 and GraphService(*kg, f"{tmp_path}/none").overview().first()["edges"] == 6
+    assert graph.full_stats(kg[0].limit(0), kg[1].limit(0)).first()["total_nodes"] == 0
+    assert [r["id"] for r in service.search("al").collect()] == ["a", "c"] and service.entity("al").first()["degree"] == 2
+    assert service.path("alpha", "delta").count() == 3 and ids(service.neighbourhood("alpha", 1)[0]) == ["a", "b"]
+    assert service.query(claim_type="part_of").count() == 1
+    for call in (lambda: service.search("nobody"), lambda: service.entity("nobody"), lambda: service.path("alpha", "zed"), lambda: service.neighbourhood("nobody"), lambda: service.query("nobody")):
+        with pytest.raises(retrieval.NotFound):
+            call()
+    with pytest.raises(retrieval.BadRequest):
+        service.query()
+
+
+def test_display_slices(kg):
+    shown = retrieval.display(retrieval.entity_context(*kg, "b"), 1, 2).first()
+    assert (shown["n_aliases"], shown["n_relationships"], len(shown["relationships"])) == (0, 4, 2)
+    assert retrieval.display(retrieval.entity_context(*kg, "z")).first()["n_relationships"] == 0
+
+
+def test_claims_that_are_skipped(spark):
+    g, n = resolve.exact_pass(mentions(spark, [("Ann", "person", ["A."]), ("Ann", "person", []), ("Bob", "person", [])]))
+    raw = spark.createDataFrame([(0, "a", "Ann", "Bob"), (1, "a", "Ann", ""), (2, "a", "Nobody", "Bob"), (3, "a", "Ann", "Nobody")], "ord long, artifact_id string, subject string, object string")
+    assert tuple(resolve.skipped_claims(raw, n).first()) == (4, 2)
+    assert [(r["canonical_name"], r["aliases"]) for r in resolve.top_entities(g, 1).collect()] == [("Ann", ["A."])]
+    claims = spark.createDataFrame([("1", "decided", "x", "y"), ("2", "decided", "x", "gone"), ("3", "rules", "x", "y")], "id string, claim_type string, subject_id string, object_id string").withColumns({"confidence": F.lit(0.5), "mention_count": F.lit(1), "detail": F.lit(""), "evidence": F.array(F.struct(F.lit("e" * 300).alias("excerpt")))})
+    nodes = spark.createDataFrame([("x",), ("y",)], "id string")
+    assert tuple(graph.edge_counts(claims, nodes).first()) == (1, 1)
+    assert [len(r["excerpts"][0]) for r in graph.edge_table(claims, nodes).collect()] == [200]
+
+
+def test_network_map_and_headers(spark):
+    raw = spark.createDataFrame([("m/1", "From: A@x.com\nTo: b@x.com, nobody\nCc: B@x.com ,c@x.com\nX-Origin: O\n\nhi"), ("m/2", "To: b@x.com\n\nno sender"), ("n/3", None)], "file string, message string")
+    m = mail.parse_mail(raw)
+    assert sorted(map(tuple, selection.network_edges(selection.network_rows(m)).collect())) == [("a@x.com", "b@x.com", 2), ("a@x.com", "c@x.com", 1)]
+    assert [tuple(r) for r in selection.mailbox_counts(m).collect()] == [("m", 1, 1)]
+    heads = {r["file"]: r for r in mail.header_projection(raw).collect()}
+    assert heads["m/1"]["x_origin"] == "O" and heads["m/1"]["bcc"] == "" and heads["m/1"]["error"] is None and heads["n/3"]["error"] == "no message" and heads["n/3"]["from"] is None
+    with pytest.warns(UserWarning):
+        selection.trim_subset(m)
+
+
+def test_waits_by_kind():
+    assert [extract.wait_for("connection", 2), extract.wait_for("rate limit", 1), extract.wait_for("ValueError", 3)] == [5.0, 20.0, 8.0]
