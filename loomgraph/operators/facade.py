@@ -5,10 +5,13 @@ Answers are DataFrames; what an HTTP server would answer with 404 or 400 raises
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 
 from loomgraph.operators import graph, retrieval
 from loomgraph.operators.retrieval import NotFound
+from loomgraph.operators.workspace import Workspace
 from loomgraph.sources.readers import cached
 
 
@@ -42,11 +45,16 @@ class GraphService:
         return retrieval.structured_query(self.nodes, self.edges, entity, claim_type, min_confidence, limit)
 
     def path(self, source: str, target: str, max_hops: int = 4) -> DataFrame:
-        return self._some(retrieval.shortest_path(self.nodes, self.edges, source, target, max_hops), f"{source} to {target}")
+        return self._some(retrieval.shortest_path(self.nodes, self._stored, source, target, max_hops), f"{source} to {target}")
 
     def neighbourhood(self, name: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         found = self._some(retrieval.by_name(self.nodes, name), name)
-        return retrieval.neighbourhood(self.nodes, self.edges, found, depth)
+        return retrieval.neighbourhood(self.nodes, self._stored, found, depth)
+
+    @functools.cached_property
+    def _stored(self) -> DataFrame:
+        """The edges as a stored table, written by the first search along them and read by all others."""
+        return retrieval.stored(self.edges, Workspace(self.spark, "service"))
 
     def _some(self, df: DataFrame, what: str) -> DataFrame:
         if df.isEmpty():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NATIVE_LENGTH, is_digits, is_email, normalize_name, similar, similar_long, sorted_tokens, strip_u
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.skew import lookup_join
 from loomgraph.operators.workspace import Workspace
 from loomgraph.schema import FUZZY
 
@@ -139,14 +140,23 @@ def entities(groups: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("mention_count"), "gid")
 
 
+def _named(rows: DataFrame, ws: Workspace, **names: DataFrame) -> DataFrame:
+    """``rows``, stored, with the columns of ``names``, tables by key with one row per key; null where there is none. Popular keys are split."""
+    out = rows
+    for key, table in names.items():
+        found = ws.save(rows.groupBy(key).agg(F.count("*").alias("__rows")).join(table, key, "left"), "found")
+        out = lookup_join(out, found, [key], "__rows").drop("__rows")
+    return out
+
+
 def place_claims(raw: DataFrame, names: DataFrame) -> DataFrame:
     """raw claims with s and o, the groups of subject and object, and ``skipped``.
 
-    Skipped: the subject is unknown, or a non-empty object is. An empty object is the subject.
+    Skipped: the subject is unknown, null or empty, or a non-empty object is unknown. An empty or null object is the subject.
     """
-    keyed = raw.withColumns({"sn": normalize_name(F.col("subject")), "on": normalize_name(F.coalesce("object", F.lit("")))})
-    s, o = names.toDF("sn", "s"), names.toDF("on", "o")
-    placed = keyed.join(s, "sn", "left").join(o, "on", "left")
+    ws = Workspace(raw.sparkSession, "claims")
+    keyed = ws.save(raw.withColumns({f"{k[0]}n": normalize_name(F.coalesce(k, F.lit(""))) for k in ("subject", "object")}), "keyed")
+    placed = _named(keyed, ws, sn=names.toDF("sn", "s"), on=names.toDF("on", "o"))
     skipped = F.col("s").isNull() | (F.col("o").isNull() & (F.col("on") != ""))
     return placed.withColumn("skipped", skipped).withColumn("o", F.coalesce("o", "s")).drop("sn", "on")
 
@@ -171,7 +181,8 @@ def consolidate(raw: DataFrame, names: DataFrame, groups: DataFrame) -> DataFram
     evidence = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("excerpt", F.lit("")).alias("excerpt"), c.alias("confidence"), F.col("artifact_id").cast("string").alias("artifact_id"), F.col("date").cast("string").alias("date")))), lambda e: e.dropFields("ord"))
     g = kept.groupBy("claim_type", "s", "o").agg(F.min_by("detail", "ord").alias("detail"), evidence.alias("evidence"), F.greatest(F.max(c), F.lit(0.0)).alias("confidence"), F.count("*").alias("mention_count"), F.min("ord").alias("ord"))
     who = lambda k, n: groups.select(F.col("gid").alias(k), entity_id(F.col("entity_type"), F.col("canonical_name")).alias(f"{n}_id"), F.col("canonical_name").alias(f"{n}_name"))
-    full = g.join(who("s", "subject"), "s", "left").join(who("o", "object"), "o", "left")
+    ws = Workspace(raw.sparkSession, "consolidated")
+    full = _named(ws.save(g, "claims"), ws, s=who("s", "subject"), o=who("o", "object"))
     return full.select(F.sha2(F.concat_ws("|", "claim_type", "subject_id", "object_id"), 256).alias("id"), "claim_type", "subject_id", "subject_name", "object_id", "object_name", "detail", "evidence", "confidence", "mention_count", "ord").orderBy(F.desc("confidence"), F.desc("mention_count"), "ord").drop("ord")
 
 

@@ -96,20 +96,25 @@ def structured_query(nodes: DataFrame, edges: DataFrame, entity: str | None = No
     raise BadRequest("neither entity nor claim type")
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b) both ways, self-loops dropped, each pair once."""
-    e = edges.where("src <> dst")
-    return e.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+def stored(edges: DataFrame, ws: Workspace) -> DataFrame:
+    """``edges`` itself where it is a table of a workspace, else written once: every step of a search reads it again."""
+    return edges if hasattr(edges, "_loom_path") else ws.save(edges, "edges")
+
+
+def beside(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) at the other end of some edge of ``ids(id)``, either way. A small ``ids`` is broadcast, so edges are read and not moved."""
+    at = ids.select(F.col("id").alias("at"))
+    out = edges.select("src", F.col("dst").alias("id")).join(at, F.col("src") == F.col("at")).select("id")
+    into = edges.select(F.col("src").alias("id"), "dst").join(at, F.col("dst") == F.col("at")).select("id")
+    return out.unionByName(into).distinct()
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, ws: Workspace) -> DataFrame:
-    """(id, dist) of nodes within ``depth`` of ``start(id)``, by levels; start has distance 0."""
+    """(id, dist) of nodes within ``depth`` of ``start(id)``, by levels; start has distance 0. ``edges`` should be a stored table."""
     seen = ws.save(start.select("id", F.lit(0).alias("dist")), "level")
-    both = ws.save(undirected(edges), "undirected")
     frontier = seen
     for d in range(1, depth + 1):
-        step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        frontier = ws.save(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("dist")), "level")
+        frontier = ws.save(beside(edges, frontier).join(seen, "id", "left_anti").select("id", F.lit(d).alias("dist")), "level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -139,7 +144,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: i
     """
     depth = min(depth, clamp) if clamp is not None else depth
     ws = Workspace(nodes.sparkSession, "neighbourhood")
-    start = ws.save(start.select("id").limit(1), "start")
+    start, edges = ws.save(start.select("id").limit(1), "start"), stored(edges, ws)
     near = reach(edges, start, max(depth, 0), ws).where("dist > 0")
     if depth > 0 and (c := circle(edges, start, depth)):
         near = near.unionByName(start.select("id", F.lit(c).alias("dist")))
@@ -156,14 +161,13 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     ws = Workspace(nodes.sparkSession, "path")
     pick = lambda q: nodes.where(F.contains(F.lower("canonical_name"), _low(q))).orderBy(F.length("canonical_name"), "id").select("id").limit(1)
     a, b = ws.save(pick(source), "source"), ws.save(pick(target), "target")
-    both = ws.save(undirected(edges), "undirected")
+    edges = stored(edges, ws)
     levels = [a]
     seen = a
     found = False
     if not a.isEmpty() and not b.isEmpty() and a.join(b, "id", "left_semi").isEmpty():
         for _ in range(max_hops):
-            step = both.join(levels[-1].select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-            level = ws.save(step.join(seen, "id", "left_anti"), "level")
+            level = ws.save(beside(edges, levels[-1]).join(seen, "id", "left_anti"), "level")
             if level.isEmpty():
                 break
             levels.append(level)
@@ -177,7 +181,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
         at = b.first()[0]
         steps.append(at)
         for level in reversed(levels[:-1]):
-            at = both.where(F.col("b") == at).select(F.col("a").alias("id")).join(level, "id", "left_semi").agg(F.min("id")).first()[0]
+            near = edges.where(F.col("src") == at).select(F.col("dst").alias("id")).unionByName(edges.where(F.col("dst") == at).select(F.col("src").alias("id")))
+            at = near.join(level, "id", "left_semi").agg(F.min("id")).first()[0]
             steps.append(at)
         steps.reverse()
     path = nodes.sparkSession.createDataFrame([(i, x) for i, x in enumerate(steps)], "step int, id string")
