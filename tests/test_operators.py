@@ -313,3 +313,16 @@ def test_network_map_and_headers(spark):
 
 def test_waits_by_kind():
     assert [extract.wait_for("connection", 2), extract.wait_for("rate limit", 1), extract.wait_for("ValueError", 3)] == [5.0, 20.0, 8.0]
+
+
+def test_claims_of_a_popular_name(spark):
+    """A name that holds nearly all claims is split; null, empty and unknown names are told apart."""
+    names = spark.createDataFrame([("ann", 1), ("bob", 2), ("cy", 3)], "norm string, gid long")
+    odd = [(None, "Bob"), ("", "Bob"), ("Nobody", "Bob"), ("Cy", None), ("Cy", ""), ("Bob", "Nobody")]
+    rows = [("Ann", "Bob" if i % 2 else "Cy", i) for i in range(500)] + [(*p, 500 + i) for i, p in enumerate(odd)]
+    raw = spark.createDataFrame(rows, "subject string, object string, ord long")
+    got = {r["ord"]: (r["s"], r["o"], r["skipped"]) for r in resolve.place_claims(raw, names).collect()}
+    assert len(got) == 506
+    assert all(got[i] == (1, 2 if i % 2 else 3, False) for i in range(500))
+    assert [got[500 + i][2] for i in range(6)] == [True, True, True, False, False, True]
+    assert got[503] == got[504] == (3, 3, False)
