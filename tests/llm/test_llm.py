@@ -69,6 +69,29 @@ def test_hot_group(spark):
     assert exact_dedup.drop_copies(docs(spark, rows)).count() == 201
 
 
+@pytest.mark.parametrize("bits", [exact_dedup.BITS, exact_dedup.CHUNK, 8])
+def test_exact_dedup_brute_force(spark, monkeypatch, bits):
+    """Any size of the bitmap gives the same groups: down to one where nearly every place is taken."""
+    monkeypatch.setattr(exact_dedup, "BITS", bits)
+    rng = random.Random(bits)
+    rows = [(i, rng.choice([None, "", f"text {rng.randrange(300)}", f"Text {i}"])) for i in rng.sample(range(10_000), 700)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").lower()].append(i)
+    got = exact_dedup.exact_groups(docs(spark, rows), keep="max", normalise=ascii_lower).collect()
+    want = {(i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+    kept = exact_dedup.drop_copies(docs(spark, rows), normalise=ascii_lower).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(min(g) for g in groups.values())
+
+
+def test_only_repeated_hashes_are_marked(spark):
+    rows = [(i, f"t{i}") for i in range(2000)] + [(2000 + i, f"t{i}") for i in range(5)]
+    alone, shared, bits = exact_dedup._parts(docs(spark, rows), "doc_id", "text", "min", lambda c: c, exact_dedup.md5_bytes)
+    assert (alone.count(), shared.count()) == (1995, 10)
+    assert bits.select(F.sum(F.bitmap_count("__bits"))).first()[0] == 5
+
+
 # -- WARC
 
 PAGES = "page_id long, url string, html string, id string, payload string"
