@@ -47,6 +47,34 @@ def test_stream_resumes_and_repeats_safely(spark, tmp_path):
     assert sorted(r["message_id"] for r in ledger(spark, str(tmp_path / "t")).collect()) == ["<1>", "<3>", "<5>"]
 
 
+def test_stream_keeps_the_first_file_in_any_range(spark, tmp_path):
+    """Copies in several ranges, the first of them slow to write; ids that several files share."""
+    import hashlib
+    import random
+
+    from loomgraph.plans.catalogue import stream_ingest
+
+    rnd = random.Random(1)
+    rows = [(1000 + i, 0, "a", rnd.randbytes(100_000).hex()) for i in range(100)]
+    rows += [(c + i, k, r, f"{k} {i}") for c, r in ((1000, "a"), (2000, "b"), (3000, "c")) for k in (1, 2) for i in range(100)]
+    rows += [(1000 + i, 1, "z", f"own {i}") for i in range(100)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    first = {}
+    for _, c, k, t in sorted((f"{r}/sent/{c}.{k}", c, k, t) for c, k, r, t in rows):
+        first.setdefault(hashlib.sha256(t.encode()).hexdigest(), f"<{c}.{k}@example.com>")
+    got = stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted((r["body_hash"], r["message_id"]) for r in got) == sorted(first.items())
+
+
+def test_batch_keeps_one_row_a_body(spark, tmp_path):
+    from loomgraph.streaming.ingest import ingest_batch
+
+    mail = lambda f, i, body: (f, f"Message-ID: <{i}>\n\n{body}")
+    rows = [mail("f", 1, "x"), mail("f", 1, "x"), mail("f", 2, "y"), mail("e", 3, "y")]
+    ingest_batch(spark.createDataFrame(rows, "file string, message string"), 0, str(tmp_path / "t"))
+    assert sorted(r["message_id"] for r in ledger(spark, str(tmp_path / "t")).collect()) == ["<1>", "<3>"]
+
+
 def test_entry_without_llm(tmp_path):
     """The rest works when the llm parts are gone."""
     import os
